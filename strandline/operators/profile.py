@@ -69,7 +69,7 @@ def _summary(counts: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(ok.isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
         F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("n_violation"),
         F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("n_good"),
-        F.count(ok).alias("n_distinct"),
+        F.count(F.when(ok, 1)).alias("n_distinct"),
         F.min(F.when(ok, F.col("num"))).alias("min_num"),
         F.max(F.when(ok, F.col("num"))).alias("max_num"),
         F.min(F.when(ok, F.col("txt"))).alias("min_txt"),

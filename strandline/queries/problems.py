@@ -58,7 +58,7 @@ def p4_site_results(spark: SparkSession, d: str) -> DataFrame:
     calls = table(spark, d, "calls").select("row_id", _site_key().alias("site_key"), "called_label", _probability().alias("p"))
     sums = {"coverage": ("count", F.lit(1)), "n_modified": ("sum", F.when(F.col("called_label") == 1, 1).otherwise(0)), "s": ("sum", F.col("p"))}
     out = salted_aggregate(calls, ["site_key"], sums, ["row_id"])
-    return out.select("site_key", "coverage", "n_modified", F.round("s", 4).alias("prob_1_sum"))
+    return out.select("site_key", "coverage", "n_modified", F.round("s", 6).alias("prob_1_sum"))
 
 
 def p4_read_results(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p4_read_results(spark: SparkSession, d: str) -> DataFrame:
     out = salted_aggregate(calls, ["readname"], sums, ["row_id"])
     mean = F.try_divide(F.col("s"), F.col("n"))
     deviation = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("q"), F.col("n")) - mean * mean))
-    return out.select("readname", "n_rows", F.round(mean, 5).alias("prob_1_mean"), F.round(F.when(F.col("n") > 0, deviation), 5).alias("prob_1_deviation"))
+    return out.select("readname", "n_rows", F.round(mean + 1e-9, 5).alias("prob_1_mean"), F.round(F.when(F.col("n") > 0, deviation + 1e-9), 5).alias("prob_1_deviation"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +121,7 @@ from s left join q using (load_id, col_name) left join ks using (load_id, col_na
 select 'site' as key_kind, chrom || '||' || pos as key_value from calls where chrom is not null and pos is not null group by 2 having count(*) * 100 >= (select n from t)
 union all select 'read', readname from calls where readname is not null group by 2 having count(*) * 100 >= (select n from t)""",
     "p4_site_results": """select chrom || '||' || pos as site_key, count(*) as coverage, count(*) filter (called_label = 1) as n_modified,
-  round(sum(prob_1) filter (prob_1 between 0 and 1 and not isnan(prob_1)), 4) as prob_1_sum from calls where chrom is not null and pos is not null group by 1""",
-    "p4_read_results": """select readname, count(*) as n_rows, round(avg(prob_1) filter (prob_1 between 0 and 1 and not isnan(prob_1)), 5) as prob_1_mean,
-  round(stddev_pop(prob_1) filter (prob_1 between 0 and 1 and not isnan(prob_1)), 5) as prob_1_deviation from calls where readname is not null group by 1""",
+  round(sum(prob_1) filter (prob_1 between 0 and 1 and not isnan(prob_1)), 6) as prob_1_sum from calls where chrom is not null and pos is not null group by 1""",
+    "p4_read_results": """select readname, count(*) as n_rows, round(avg(prob_1) filter (prob_1 between 0 and 1 and not isnan(prob_1)) + 1e-9, 5) as prob_1_mean,
+  round(stddev_pop(prob_1) filter (prob_1 between 0 and 1 and not isnan(prob_1)) + 1e-9, 5) as prob_1_deviation from calls where readname is not null group by 1""",
 }
