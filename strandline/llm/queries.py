@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, sampling, splits, tokens
+from strandline.llm import mixing, privacy, sampling, splits, tokens
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +60,15 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_split, p2_forest, p5_found, p5_sample, p5_report, p7_ids, p7_round_trip, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.find(table(spark, d, "documents"), table(spark, d, "name_parts")).select("doc_id", "pii_kind", "pii_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.redact(table(spark, d, "documents"), table(spark, d, "name_parts"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_split, p2_forest, p5_found, p5_sample, p5_report, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 ORACLES: dict[str, str] = {
     "p5_found": """with p as (select upper(substr(k_mer, 9, 5)) as k_mer5, methy_label from features where regexp_full_match(k_mer, '[A-Za-z]{21}') and methy_label in (0, 1)),
