@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.seq import motif_sites
+
 
 def skips(seq: Column, places: Column) -> Column:
     """Cs between one called C and the next; null if some place is not a C. ``places`` are sorted, from 0."""
-    letters = F.filter(F.split(seq, ""), lambda c: c != "")
-    cs = F.filter(F.transform(letters, lambda c, i: F.when(c == "C", i)), lambda i: i.isNotNull())
-    ordinal = F.transform(places, lambda p: F.array_position(cs, p).cast("int") - 1)
-    gaps = F.zip_with(ordinal, F.concat(F.array(F.lit(-1)), F.slice(ordinal, 1, F.greatest(F.size(ordinal) - 1, F.lit(0)))), lambda a, b: a - b - 1)
-    return F.when(~F.exists(ordinal, lambda o: o < 0), gaps)
+    before = F.concat(F.array(F.lit(-1)), F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))))
+    between = F.zip_with(before, places, lambda a, b: F.length(F.regexp_replace(F.substring(seq, a + 2, b - a - 1), "[^C]", "")))
+    return F.when(F.size(places) == 0, F.array().cast("array<int>")).when(~F.exists(places, lambda p: F.substring(seq, p + 1, F.lit(1)) != "C"), between)
 
 
 def mm_tag(seq: Column, places: Column) -> Column:
@@ -28,9 +28,8 @@ def ml_tag(probabilities: Column) -> Column:
 
 def called_places(seq: Column, mm: Column) -> Column:
     """The places an MM tag names."""
-    letters = F.filter(F.split(seq, ""), lambda c: c != "")
-    cs = F.filter(F.transform(letters, lambda c, i: F.when(c == "C", i)), lambda i: i.isNotNull())
     gaps = F.transform(F.filter(F.split(F.regexp_extract(mm, r"^C\+m\?,([\d,]*);", 1), ","), lambda x: x != ""), lambda x: x.cast("int"))
     start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("all"))
     ordinals = F.aggregate(gaps, start, lambda a, g: F.struct((a["at"] + g + 1).alias("at"), F.concat(a["all"], F.array(a["at"] + g + 1)).alias("all")), lambda a: a["all"])
-    return F.transform(ordinals, lambda o: F.element_at(cs, o + 1))
+    both = F.array(F.struct(motif_sites(seq, ["C"]).alias("cs"), ordinals.alias("picked")))  # computed once, not per place
+    return F.transform(both, lambda x: F.transform(x["picked"], lambda o: F.element_at(x["cs"], o + 1)))[0]

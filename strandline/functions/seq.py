@@ -26,10 +26,16 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def motif_sites(seq: Column, motifs: list[str], offset: int = 0) -> Column:
-    """Places from 0 at which a motif begins, overlaps included, shifted by ``offset``; all motifs have one length."""
-    n = len(motifs[0])
-    starts = F.when(F.length(seq) >= n, F.sequence(F.lit(1), F.length(seq) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(starts, lambda i: F.substring(seq, i, F.lit(n)).isin(motifs)), lambda i: i - 1 + offset)
+    """Places from 0 at which a motif begins, overlaps included, shifted by ``offset``; all motifs have one length.
+
+    The sequence is split in front of every motif, so the work after that follows the sites, not the letters.
+    """
+    parts = F.split(seq, f"(?={'|'.join(motifs)})")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    starts = F.aggregate(parts, none, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+    opens = F.substring(seq, 1, len(motifs[0])).isin(motifs)
+    found = F.when(opens, starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
+    return F.transform(found, lambda i: i + offset) if offset else found
 
 
 def codes(seq: Column) -> Column:

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 MAD_TO_SIGMA = 0.6744897501960817
 
 
+def _less(values: Column, m: Column, scale: Column | None = None) -> Column:
+    """Values less a number, by another: both are computed once, not once per value inside the lambda."""
+    n = F.size(values)
+    shifted = F.zip_with(values, F.array_repeat(m, n), lambda x, c: x - c)
+    return shifted if scale is None else F.zip_with(shifted, F.array_repeat(scale, n), lambda x, c: F.try_divide(x, c))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -19,8 +26,7 @@ def mean(values: Column) -> Column:
 
 def deviation(values: Column) -> Column:
     """Population deviation."""
-    m = mean(values)
-    return F.sqrt(F.try_divide(total(F.transform(values, lambda x: (x - m) * (x - m))), F.size(values)))
+    return F.sqrt(F.try_divide(total(F.transform(_less(values, mean(values)), lambda x: x * x)), F.size(values)))
 
 
 def median(values: Column) -> Column:
@@ -30,15 +36,15 @@ def median(values: Column) -> Column:
 
 def standardised(values: Column) -> Column:
     """Less the mean, by the deviation; unchanged where the deviation is 0."""
-    m, s = mean(values), deviation(values)
-    return F.when(s == 0, values).otherwise(F.transform(values, lambda x: (x - m) / s))
+    s = deviation(values)
+    return F.when(s == 0, values).otherwise(_less(values, mean(values), s))
 
 
 def mad_scaled(values: Column) -> Column:
     """Less the median, by the scaled median distance from it; unchanged where that is 0."""
     m = median(values)
-    s = median(F.transform(values, lambda x: F.abs(x - m))) / MAD_TO_SIGMA
-    return F.when(s == 0, values).otherwise(F.transform(values, lambda x: (x - m) / s))
+    s = median(F.transform(_less(values, m), lambda x: F.abs(x))) / MAD_TO_SIGMA
+    return F.when(s == 0, values).otherwise(_less(values, m, s))
 
 
 def trimmed(values: Column, start: Column, end: Column) -> Column:

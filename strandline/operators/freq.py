@@ -72,7 +72,7 @@ def histogram(probability: Column, bins: int = BINS) -> Column:
 def unit_length(values: Column) -> Column:
     """An array scaled to length 1 (nearly: a small constant keeps empty ones finite), to six places."""
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)) + EPSILON
-    return F.transform(values, lambda x: F.round(x / norm, 6))
+    return F.zip_with(values, F.array_repeat(norm, F.size(values)), lambda x, n: F.round(x / n, 6))
 
 
 def site_histograms(calls: DataFrame, bins: int = BINS, min_coverage: int = MIN_COVERAGE) -> DataFrame:
