@@ -63,7 +63,7 @@ def seats(categories: list[tuple[float, int, int]], size: int) -> list[int]:
     for _ in range(200):
         middle = (low + high) / 2
         low, high = (middle, high) if sum(held(middle)) <= left else (low, middle)
-    got = held(low) if sum(held(low)) <= left else list(base)
+    got = [max(b, g - 1) for b, g in zip(base, held(low))]  # one step back: the last seats go by the keys themselves
     queue = [((g + 0.5) / t if t > 0 else math.inf, i) for i, ((t, _, _), g, c) in enumerate(zip(categories, got, cap)) if g < c]
     heapq.heapify(queue)
     for _ in range(left - sum(got)):
