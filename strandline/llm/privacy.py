@@ -71,6 +71,7 @@ def _emails(text: str) -> Iterator[tuple[int, int, int]]:
 
 # ---- phone numbers
 
+_FIGURES = regex.compile(r"\d(?:\D{0,3}\d){5,}")
 _SEP = r"[ .\-/\u00a0]"
 _PHONE = regex.compile(
     r"(?<![\p{L}\p{N}+.,:/\-])(?<!\d )(?:"
@@ -86,8 +87,20 @@ _NOT_PHONE = regex.compile(r"(?:isbn|issn|sales|catalogue|inventory|edition|lot|
 _UNIT = regex.compile(r"\s?(?:crowns|ducats|marks|taler|euros?|dollars?|pounds|kg|km|mm?|hectares|visitors|people|inhabitants|copies|units|€|\$|%)(?!\p{L})", regex.I)
 
 
+def _inside(pattern: regex.Pattern, text: str) -> Iterator[regex.Match]:
+    """Matches that begin in a stretch with at least six digits close together; numbers stand nowhere else."""
+    for stretch in _FIGURES.finditer(text):
+        at = max(0, stretch.start() - 4)
+        while at < stretch.end():
+            m = pattern.search(text, at, min(len(text), stretch.end() + 24))
+            if not m or m.start() >= stretch.end():
+                break
+            yield m
+            at = max(m.end(), at + 1)
+
+
 def _phones(text: str) -> Iterator[tuple[int, int, int]]:
-    for m in _PHONE.finditer(text):
+    for m in _inside(_PHONE, text):
         digits = sum(c.isdigit() for c in m.group())
         if not 8 <= digits <= 15:
             continue
@@ -121,7 +134,7 @@ _NOT_ID = regex.compile(r"(?:isbn|issn|catalogue|inventory|shelf|edition|lot|pop
 
 
 def _ids(text: str) -> Iterator[tuple[int, int, int]]:
-    for m in _ID.finditer(text):
+    for m in _inside(_ID, text):
         kind, found = m.lastgroup, m.group()
         digits = "".join(c for c in found if c.isdigit())
         score = {"ssn": 3 if "-" in found else 1, "nino": 3, "passport": 0, "dotted": 3, "dashed": 1, "iban": 0, "plain": 0}[kind]
