@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import spread
+
 BASES, PLACES = 21, 15
 NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 ENDS = " \t\r"
@@ -120,7 +122,7 @@ def parse_lines(lines: DataFrame, values: bool = True) -> DataFrame:
                 columns = list(zip(*out)) if out else [[]] * len(_TYPES)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
-    return lines.select("line_no", "file_name", "line_text").mapInArrow(parse, PARSED)
+    return spread(lines.select("line_no", "file_name", "line_text")).mapInArrow(parse, PARSED)
 
 
 def valid_rows(lines: DataFrame) -> DataFrame:

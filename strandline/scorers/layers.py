@@ -72,7 +72,7 @@ def ends(states: np.ndarray) -> np.ndarray:
 
 def attend(states: np.ndarray, query: np.ndarray, w: Weights, name: str) -> np.ndarray:
     """Additive attention: the states' mean, weighted by how well each goes with the query."""
-    scores = np.tanh(linear(query, w, f"{name}.query")[:, None] + linear(states, w, f"{name}.key")) @ w[f"{name}.v"]
+    scores = np.tanh((query @ w[f"{name}.query"])[:, None] + states @ w[f"{name}.key"]) @ w[f"{name}.v"]
     return (softmax(scores, axis=1)[..., None] * states).sum(axis=1)
 
 

@@ -22,9 +22,9 @@ STATE, BINS, WIDTH = 32, 20, 11
 
 
 def _attention(w: Weights, rng: np.random.Generator, width: int) -> None:
-    make_linear(w, rng, "att.query", width, width)
-    make_linear(w, rng, "att.key", width, width)
-    w["att.v"] = rng.uniform(-1, 1, width) / np.sqrt(width)
+    for part in ("query", "key"):
+        w[f"att.{part}"] = rng.uniform(-1, 1, (width, STATE)) / np.sqrt(width)
+    w["att.v"] = rng.uniform(-1, 1, STATE) / np.sqrt(STATE)
 
 
 def site_weights(seed: int = 0) -> Weights:

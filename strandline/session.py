@@ -42,3 +42,9 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame over all cores, if it is scanned in fewer tasks than there are cores: for work that is heavy per row."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
