@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from strandline.session import spread
+
 THRESHOLD = 3
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -357,7 +359,7 @@ def find(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.column(0).type, pa.string(), pa.string(), pa.int32()))], names=[key, "pii_kind", "pii_text", "start"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text").mapInArrow(run, f"`{key}` {kind}, pii_kind string, pii_text string, start int")
+    return spread(documents.select(key, "text")).mapInArrow(run, f"`{key}` {kind}, pii_kind string, pii_text string, start int")
 
 
 def redact(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -370,4 +372,4 @@ def redact(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([finder.redact(t) for t in batch.column(1).to_pylist()], pa.string())], names=[key, "text"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, "text").mapInArrow(run, f"`{key}` {kind}, text string")
+    return spread(documents.select(key, "text")).mapInArrow(run, f"`{key}` {kind}, text string")

@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from strandline.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Fixed value: the pattern that splits text into words before the merges of this vocabulary.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -191,7 +193,7 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(documents.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", into: str = "n_tokens") -> DataFrame:
@@ -206,7 +208,7 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, text: str =
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(numbers, pa.int64())], names=[*kept, into])
 
     schema = ", ".join([*[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept], f"`{into}` bigint"])
-    return documents.select(*kept, text).mapInArrow(run, schema)
+    return spread(documents.select(*kept, text)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
