@@ -124,4 +124,31 @@ union all select 'read', readname from calls where readname is not null group by
   round(sum(prob_1) filter (prob_1 between 0 and 1 and not isnan(prob_1)), 6) as prob_1_sum from calls where chrom is not null and pos is not null group by 1""",
     "p4_read_results": """select readname, count(*) as n_rows, round(avg(prob_1) filter (prob_1 between 0 and 1 and not isnan(prob_1)) + 1e-9, 5) as prob_1_mean,
   round(stddev_pop(prob_1) filter (prob_1 between 0 and 1 and not isnan(prob_1)) + 1e-9, 5) as prob_1_deviation from calls where readname is not null group by 1""",
+    "p1_found": r"""with f as (select row_id, nullif(nullif(lower(regexp_extract(readname, '^\s*@?\s*([^\s@]\S*)', 1)), ''), '.') as src, signal_means, signal_stds, signal_lens, raw_signals from features where readname is not null),
+flat as (
+  select row_id, src, 'signal_means' as field_name, generate_subscripts(signal_means, 1) - 1 as base_idx, unnest(signal_means) as v from f where src is not null
+  union all select row_id, src, 'signal_stds', generate_subscripts(signal_stds, 1) - 1, unnest(signal_stds) from f where src is not null
+),
+starts as (select *, case when v = lag(v) over w then 0 else 1 end as s from flat window w as (partition by row_id, field_name order by base_idx)),
+runs as (select *, sum(s) over (partition by row_id, field_name order by base_idx) as run from starts),
+sized as (select *, count(*) over (partition by row_id, field_name, run) >= 5 and v is not null as stuck from runs),
+bases as (select row_id, src, generate_subscripts(raw_signals, 1) - 1 as base_idx, unnest(raw_signals) as r, unnest(signal_lens) as n from f where src is not null),
+kept as (select row_id, src, base_idx, list_slice(r, (len(r) - least(n, len(r))) // 2 + 1, (len(r) - least(n, len(r))) // 2 + least(n, len(r))) as r from bases),
+judged as (
+  select row_id, src, field_name, base_idx, v, stuck from sized
+  union all select row_id, src, 'raw_signals', base_idx, unnest(r), len(r) >= 5 and list_min(r) = list_max(r) and isfinite(list_min(r)) from kept
+),
+good as (select src, field_name, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as c, quantile_cont(v, 0.75) as q3 from judged where isfinite(v) and not stuck and not (field_name = 'signal_stds' and v < 0) group by 1, 2)
+select distinct row_id, field_name, base_idx::int as base_idx from judged left join good using (src, field_name)
+where stuck or not isfinite(v) or (field_name = 'signal_stds' and v < 0) or (q3 > q1 and abs(v - c) > 8 * (q3 - q1) / 1.349)""",
+    "p6_found": r"""with t as (select line_no, regexp_replace(coalesce(line_text, ''), '^[ \t\r]+|[ \t\r]+$', '', 'g') as x from feature_lines),
+q as (select line_no, x, contains(x, '"') and not regexp_full_match(x, '(?s)(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*') as bad_quote from t),
+f as (select line_no, x, bad_quote, list_transform(regexp_extract_all(x || chr(9), '(?s)("(?:[^"]|"")*"|[^\t"]*)\t', 1), lambda e: case when starts_with(e, '"') then replace(substr(e, 2, length(e) - 2), '""', '"') else e end) as c from q),
+n as (select *, x = '' or len(c) not in (13, 14) as bad_count from f),
+b as (select *, case when bad_quote or bad_count then false else not (
+  len(string_split(c[8], ',')) = 21 and len(string_split(c[9], ',')) = 21 and regexp_full_match(c[10], '[0-9]+(?:,[0-9]+){20}')
+  and len(string_split(c[11], ';')) = 21 and len(list_filter(string_split(c[11], ';'), lambda e: len(string_split(e, ',')) <> 15)) = 0
+  and len(list_filter(string_split(replace(c[8] || ',' || c[9] || ',' || c[11], ';', ','), ','), lambda e: not (regexp_full_match(e, '[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:[eE][+-]?[0-9]+)?') and coalesce(isfinite(try_cast(e as double)), false)))) = 0
+  and c[12] in ('0', '1') and c[13] in ('0', '1')) end as bad_value from n)
+select line_no, case when bad_quote then 'quoting' when bad_count then 'column_count' else 'bad_value' end as reason from b where bad_quote or bad_count or bad_value""",
 }
