@@ -75,4 +75,14 @@ ORACLES: dict[str, str] = {
 c as (select k_mer5, methy_label, count(*) as n from p group by 1, 2)
 select t.k_mer5, t.methy_label from sample_targets t left join c using (k_mer5, methy_label)
 where coalesce(n, 0) < greatest(t.min_rows, ceil(t.target_share::decimal(18, 9) * ((select count(*) from p) // 10)::decimal(18, 0)))""",
+    "p2_found": r"""with recursive names as (select lower(trim(contig)) as spelling, contig, 0 as k from contigs union all select lower(trim(alias_name)), contig, 1 from contig_names),
+known as (select spelling, arg_min(contig, (k, contig)) as contig from names group by 1),
+f as (select row_id, nullif(nullif(lower(regexp_extract(readname, '^\s*@?\s*([^\s@]\S*)', 1)), ''), '.') as r, nullif(nullif(lower(regexp_replace(chrom, '^\s+|\s+$', '', 'g')), ''), '.') as spelling from features),
+k as (select row_id, r, coalesce(contig, f.spelling) as c from f left join known using (spelling)),
+links as (select distinct 'r' || r as u, 'c' || c as v from k where r is not null and c is not null),
+e as (select u, v from links union select v, u from links),
+n as (select 'r' || r as node from k where r is not null union select 'c' || c from k where c is not null),
+reach as (select node, node as other from n union select e.v, reach.other from reach join e on e.u = reach.node),
+g as (select node, coalesce(min(substr(other, 2)) filter (starts_with(other, 'c')), min(substr(other, 2)) filter (starts_with(other, 'r'))) as group_key from reach group by 1)
+select row_id, group_key from k join g on g.node = coalesce('c' || c, 'r' || r)""",
 }
