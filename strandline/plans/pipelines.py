@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from strandline.functions import seq
 from strandline.operators import calib, freq
 from strandline.operators.skew import split_join
-from strandline.scorers import models
+from strandline.scorers import hte, models
 from strandline.scorers.layers import Weights
+from strandline.session import spread
 
 
 def site_frequencies(calls: DataFrame, weights: Weights, min_coverage: int = freq.MIN_COVERAGE) -> DataFrame:
@@ -40,18 +41,38 @@ def calibrated(calls: DataFrame, weights: Weights) -> DataFrame:
     return calib.rewrite(scored, "score").drop("score")
 
 
-def called(features: DataFrame, weights: Weights) -> DataFrame:
-    """``row_id, prob_0, prob_1, called_label, k_mer`` of feature rows by the per-read caller.
-
-    Rows whose k-mer or arrays do not have the model's shape are left out.
-    """
+def _shaped(features: DataFrame) -> DataFrame:
+    """Rows whose k-mer and arrays have the models' shape, with letter codes and the middle of the k-mer."""
     whole = (F.size("signal_means") == 21) & (F.size("signal_stds") == 21) & (F.size("signal_lens") == 21) & (F.size("raw_signals") == 21) & F.forall("raw_signals", lambda r: F.size(r) == 15)
     rows = features.where(F.col("k_mer").rlike("^[A-Za-z]{21}$") & whole)
-    coded = rows.select("row_id", seq.codes(F.upper("k_mer")).alias("codes"), "signal_means", "signal_stds", "signal_lens", "raw_signals", seq.centre(F.upper("k_mer")).alias("k_mer"))
+    return rows.select("row_id", seq.codes(F.upper("k_mer")).alias("codes"), "signal_means", "signal_stds", "signal_lens", "raw_signals", F.coalesce(F.col("tag"), F.lit(1)).alias("tag"), seq.centre(F.upper("k_mer")).alias("k_mer"))
+
+
+CALLED = "row_id bigint, prob_0 double, prob_1 double, called_label int, k_mer string"
+
+
+def _as_calls(pdf: pd.DataFrame, p: np.ndarray) -> pd.DataFrame:
+    """Probabilities to six places; equal ones are no modification."""
+    p1 = np.round(p[:, 1], 6)
+    return pd.DataFrame({"row_id": pdf["row_id"], "prob_0": np.round(1 - p1, 6), "prob_1": p1, "called_label": (p[:, 1] > p[:, 0]).astype("int32"), "k_mer": pdf["k_mer"]})
+
+
+def called(features: DataFrame, weights: Weights) -> DataFrame:
+    """``row_id, prob_0, prob_1, called_label, k_mer`` of feature rows by the recurrent caller; rows of another shape are left out."""
+
+    def run(w: Weights, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _as_calls(pdf, models.score_features(w, models.stacked(pdf["codes"]).astype(int), *(models.stacked(pdf[c]) for c in ("signal_means", "signal_stds", "signal_lens", "raw_signals"))))
+
+    return models.score(spread(_shaped(features)), weights, run, CALLED)
+
+
+def called_by_encoder(features: DataFrame, weights: Weights) -> DataFrame:
+    """The same by the temporal encoder, which also takes the proximity tag; places without a recorded sample are masked."""
 
     def run(w: Weights, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = models.score_features(w, models.stacked(pdf["codes"]).astype(int), *(models.stacked(pdf[c]) for c in ("signal_means", "signal_stds", "signal_lens", "raw_signals")))
-        p1 = np.round(p[:, 1], 6)
-        return pd.DataFrame({"row_id": pdf["row_id"], "prob_0": np.round(1 - p1, 6), "prob_1": p1, "called_label": (p[:, 1] > p[:, 0]).astype("int32"), "k_mer": pdf["k_mer"]})
+        raw, n = models.stacked(pdf["raw_signals"]), np.minimum(models.stacked(pdf["signal_lens"]), 15)
+        first, at = ((15 - n) // 2)[..., None], np.arange(15)
+        raw = np.where((at >= first) & (at < first + n[..., None]) & np.isfinite(raw), raw, np.nan)
+        return _as_calls(pdf, hte.probabilities(w, raw, models.stacked(pdf["codes"]).astype(int), pdf["tag"].to_numpy(float)))
 
-    return models.score(coded, weights, run, "row_id bigint, prob_0 double, prob_1 double, called_label int, k_mer string")
+    return models.score(spread(_shaped(features)), weights, run, CALLED)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.operators import freq
 from strandline.plans import pipelines
-from strandline.scorers import models
+from strandline.scorers import hte, models
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,5 +27,9 @@ def bilstm_score(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.called(table(spark, d, "features"), models.caller_weights(wide=16))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (aggr_score, calib_score, bilstm_score)}
+def hte_score(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.called_by_encoder(table(spark, d, "features"), hte.weights(wide=8))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (aggr_score, calib_score, bilstm_score, hte_score)}
 ORACLES: dict[str, str] = {}

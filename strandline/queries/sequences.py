@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import cigar, modtags, seq, signal, vectors
 from strandline.operators import filters, training
+from strandline.operators.spectrum import spectrum
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,6 +132,12 @@ def signal_trim(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.size("t").alias("n_samples"), F.round(signal.total(F.col("t")), 5).alias("total"))
 
 
+def signal_fft(spark: SparkSession, d: str) -> DataFrame:
+    """Magnitude of every frequency of each signal."""
+    rows = spectrum(_signals(spark, d), "vec_id", "signal")
+    return rows.select("vec_id", F.posexplode("magnitude").alias("k", "m")).select("vec_id", "k", F.round("m", 4).alias("magnitude"))
+
+
 def infonce_cosine(spark: SparkSession, d: str) -> DataFrame:
     """Cosine of each vector with the mean direction of its label."""
     unit = table(spark, d, "embeddings").where("label is not null").select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
@@ -250,7 +257,7 @@ def bce(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        motif_sites, motif_iupac, revcomp, proximity_tag, gc_content, mm_skips, ml_quantise, contig_cpg, kmer_codes, signal_zscore, signal_mad, base_stats, signal_rect, signal_picoamps, signal_trim, infonce_cosine,
+        motif_sites, motif_iupac, revcomp, proximity_tag, gc_content, mm_skips, ml_quantise, contig_cpg, kmer_codes, signal_zscore, signal_mad, base_stats, signal_rect, signal_picoamps, signal_trim, signal_fft, infonce_cosine,
         alignment_filters, pct_identity, cigar_lift, signal_alignment_join, kmer_counts, kmer_quota, kmer_sets, split_halves, label_clean, score_means, metrics_classification, metrics_regression, bce,
     )
 }
@@ -282,6 +289,8 @@ union all select k.vec_id, k.base::int, t.t::int, round(k.v, 6) from k join (sel
     "signal_picoamps": f"with {_G} select vec_id, round(sum((1400.0::double + vec_id % 7) / 8192 * (v + 10) * (i + 1)), 3) as mix from x group by 1",
     "signal_trim": f"""with {_G}, k as (select *, count(*) over (partition by vec_id) as n from x), t as (select * from k where i >= case when vec_id % 2 = 0 or vec_id % 40 = 0 then vec_id % 40 else n - vec_id % 40 end)
 select e.vec_id, coalesce(c, 0)::int as n_samples, round(coalesce(s, 0), 5) as total from embeddings e left join (select vec_id, count(*) as c, sum(v) as s from t group by 1) t using (vec_id)""",
+    "signal_fft": f"""with {_G}, n as (select vec_id, len(embedding) as n from embeddings), k as (select vec_id, n, unnest(range(0, n)) as k from n)
+select vec_id, k::int as k, round(sqrt(pow(sum(v * cos(2 * pi() * k * i / n)), 2) + pow(sum(v * sin(2 * pi() * k * i / n)), 2)), 4) as magnitude from k join x using (vec_id) group by 1, 2""",
     "infonce_cosine": f"""with {_G}, m as (select label, i, avg(v) as m from x join embeddings using (vec_id) where label is not null group by 1, 2)
 select vec_id, round(sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))), 5) as cosine from x join embeddings using (vec_id) join m using (label, i) group by 1""",
     "alignment_filters": f"""with {_A} select case kind when 0 then '100M' when 1 then '40M5I55M' when 2 then '40M5D60M' else '10S90M' end as cigar, flag, count(*) as n_reads from a

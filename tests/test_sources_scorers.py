@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import cigar, modtags, seq, signal
 from strandline.operators import calib, freq, training
-from strandline.scorers import layers, models
+from strandline.scorers import hte, layers, models
 from strandline.sources import bam, text
 from strandline.streaming.sites import call_stream, running_sites
 
@@ -128,3 +128,15 @@ def test_denoise_removes_flipped_labels(spark):
 
     kept = training.denoise(rows, scorer, rounds=2, iterations=3)
     assert kept.count() == 190 and kept.columns == rows.columns
+
+
+def test_encoder_size_and_masking():
+    assert sum(v.size for v in hte.weights().values()) == 1_358_914
+    rng, w = np.random.default_rng(2), hte.weights(wide=8)
+    signals = rng.random((3, 21, 15))
+    signals[:, :, 10:] = np.nan
+    codes, tags = rng.integers(0, 4, (3, 21)), np.array([0.0, 1.0, 1.0])
+    p = hte.probabilities(w, signals, codes, tags)
+    assert p.shape == (3, 2) and np.allclose(p.sum(1), 1) and np.allclose(p, hte.probabilities(w, signals, codes, tags, rows=1))
+    signals[0] = np.nan
+    assert np.isfinite(hte.probabilities(w, signals, codes, tags)).all()
