@@ -19,8 +19,8 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
     return freq.usable(table(spark, d, "calls"))
 
 
-def _sites(spark: SparkSession, d: str) -> DataFrame:
-    return freq.site_histograms(_calls(spark, d), min_coverage=MIN_COVERAGE)
+def _sites(spark: SparkSession, d: str, min_coverage: int = MIN_COVERAGE) -> DataFrame:
+    return freq.site_histograms(_calls(spark, d), min_coverage=min_coverage)
 
 
 def call_freq_count(spark: SparkSession, d: str) -> DataFrame:
@@ -51,21 +51,38 @@ def site_histogram(spark: SparkSession, d: str) -> DataFrame:
     return counted.select("chrom", "pos", F.posexplode("h").alias("bin", "n_calls")).where("n_calls > 0")
 
 
-def site_histogram_norm(spark: SparkSession, d: str) -> DataFrame:
-    return _sites(spark, d).select("chrom", "pos", "coverage", "is_anchor", F.posexplode("hist").alias("bin", "height")).where("height > 0")
+def site_histogram_norm(spark: SparkSession, d: str, min_coverage: int = MIN_COVERAGE) -> DataFrame:
+    return _sites(spark, d, min_coverage).select("chrom", "pos", "coverage", "is_anchor", F.posexplode("hist").alias("bin", "height")).where("height > 0")
 
 
-def anchor_rank(spark: SparkSession, d: str) -> DataFrame:
-    return freq.with_anchor_rank(_sites(spark, d)).select("chrom", "pos", "rank_before")
+def anchor_rank(spark: SparkSession, d: str, min_coverage: int = MIN_COVERAGE) -> DataFrame:
+    return freq.with_anchor_rank(_sites(spark, d, min_coverage)).select("chrom", "pos", "rank_before")
 
 
-def anchor_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return freq.anchor_neighbours(_sites(spark, d)).select("chrom", "pos", "slot", "near_pos")
+def anchor_neighbours(spark: SparkSession, d: str, min_coverage: int = MIN_COVERAGE) -> DataFrame:
+    return freq.anchor_neighbours(_sites(spark, d, min_coverage)).select("chrom", "pos", "slot", "near_pos")
 
 
-def anchor_windows(spark: SparkSession, d: str) -> DataFrame:
+def anchor_windows(spark: SparkSession, d: str, min_coverage: int = MIN_COVERAGE) -> DataFrame:
     """Distances of each site's window, with padding."""
-    return freq.site_windows(_sites(spark, d)).select("chrom", "pos", F.posexplode("dist").alias("place", "dist"))
+    return freq.site_windows(_sites(spark, d, min_coverage)).select("chrom", "pos", F.posexplode("dist").alias("place", "dist"))
+
+
+def site_histogram_norm_cov4(spark: SparkSession, d: str) -> DataFrame:
+    """With the coverage that the operator and the pipelines ask of anchors, as the three below."""
+    return site_histogram_norm(spark, d, freq.MIN_COVERAGE)
+
+
+def anchor_rank_cov4(spark: SparkSession, d: str) -> DataFrame:
+    return anchor_rank(spark, d, freq.MIN_COVERAGE)
+
+
+def anchor_neighbours_cov4(spark: SparkSession, d: str) -> DataFrame:
+    return anchor_neighbours(spark, d, freq.MIN_COVERAGE)
+
+
+def anchor_windows_cov4(spark: SparkSession, d: str) -> DataFrame:
+    return anchor_windows(spark, d, freq.MIN_COVERAGE)
 
 
 def read_features(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +131,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         call_freq_count, call_freq_bed, call_usage_ratio, ambiguous_filter, site_majority_strand, site_histogram, site_histogram_norm, anchor_rank, anchor_neighbours, anchor_windows, read_features, read_windows, calibrated_calls,
+        site_histogram_norm_cov4, anchor_rank_cov4, anchor_neighbours_cov4, anchor_windows_cov4,
         chrom_include_exclude, positions_semi, read_overlap, call_union,
     )
 }
@@ -166,3 +184,21 @@ select row_id, round(p + 1e-8, 4) as prob_1, (p >= 0.5)::int as called_label fro
 select (select count(*) from a) as n_left, (select count(*) from b) as n_right, (select count(*) from a join b using (readname)) as n_both, round((select count(*) from a join b using (readname)) / (select count(*) from a)::double, 6) as share""",
     "call_union": "select file_name, count(*) as n_calls from calls join loads using (load_id) group by 1",
 }
+
+#: With anchors from coverage 4 nearly every site is one, so their neighbours come from windows and not from a join of all pairs.
+_SITES_4 = f"""{USABLE},
+b as (select chrom, pos, {_EDGES} as bin, count(*) as n_calls from u group by 1, 2, 3),
+s as (select chrom, pos, sum(n_calls)::bigint as coverage, sum(n_calls) >= {freq.MIN_COVERAGE} as is_anchor, sqrt(sum(n_calls * n_calls)::double) as norm from b group by 1, 2)"""
+_SLOTS = [k for k in range(-5, 6) if k]
+_NEAR_4 = f"""{_SITES_4},
+w as (select chrom, pos, {", ".join(f"{'lag' if k < 0 else 'lead'}(case when is_anchor then pos end, {abs(k)} ignore nulls) over (partition by chrom order by pos) as n{i}" for i, k in enumerate(_SLOTS))} from s),
+n as (select chrom, pos, unnest({_SLOTS})::int as slot, unnest([{", ".join(f"n{i}" for i in range(10))}]) as near_pos from w)"""
+
+ORACLES |= {
+    "site_histogram_norm_cov4": f"with {_SITES_4} select chrom, pos, coverage, is_anchor, bin, round(n_calls / (norm + 1e-8), 6) as height from b join s using (chrom, pos)",
+    "anchor_rank_cov4": f"with {_SITES_4} select chrom, pos, coalesce(sum(is_anchor::int) over (partition by chrom order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as rank_before from s",
+    "anchor_neighbours_cov4": f"with {_NEAR_4} select chrom, pos, slot, near_pos from n where near_pos is not null",
+    "anchor_windows_cov4": f"""with {_NEAR_4}, e as (select chrom, min(pos) as first_pos, max(pos) as last_pos from s group by 1)
+select chrom, pos, (slot + 5)::int as place, abs(coalesce(near_pos, case when slot < 0 then first_pos - 10000 else last_pos + 10000 end) - pos)::bigint as dist from n join e using (chrom)
+union all select chrom, pos, 5, 0 from s""",
+}
