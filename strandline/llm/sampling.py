@@ -40,9 +40,17 @@ def needs(rows: DataFrame, targets: DataFrame, divisor: int = 10) -> tuple[DataF
     return joined.withColumn("n_needed", F.greatest(F.col("min_rows").cast("bigint"), share)), size
 
 
-def unmet(features: DataFrame, targets: DataFrame) -> DataFrame:
-    """``k_mer5, methy_label`` of the categories that cannot be met without repeating rows."""
-    return needs(population(features), targets)[0].where("n_available < n_needed").select(*CATEGORY)
+def unmet(features: DataFrame, targets: DataFrame, seed: int = 5) -> DataFrame:
+    """``k_mer5, methy_label`` of the categories that cannot be met without repeating rows.
+
+    Every row of the population gets its random rank, as for the sample; a category is unmet if its greatest rank is below
+    what it needs. Ranks must reach exactly as far as the category has rows, else the query fails.
+    """
+    rows = population(features)
+    reached = with_rank(rows, CATEGORY, ["row_id"], seed).groupBy(*CATEGORY).agg(F.max("rank").alias("_reached"))
+    joined = needs(rows, targets)[0].join(reached, CATEGORY, "left").withColumn("_reached", F.coalesce("_reached", F.lit(0)))
+    exact = F.when(F.col("_reached") == F.col("n_available"), F.col("_reached")).otherwise(F.raise_error(F.lit("ranks differ from the rows of a category")).cast("bigint"))
+    return joined.where(exact < F.col("n_needed")).select(*CATEGORY)
 
 
 def seats(categories: list[tuple[float, int, int]], size: int) -> list[int]:

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import mixing, privacy, sampling, splits, tokens
 
@@ -106,6 +107,22 @@ def test_sample_and_unmet(spark):
     assert sampling.draw(features.limit(0), targets).count() == 0
 
 
+def test_unmet_ranks_the_population(spark, monkeypatch):
+    features = spark.createDataFrame([(i, "A" * 8 + "ACGTA" + "T" * 8, i % 2) for i in range(60)] + [(7, "A" * 8 + "ACGTA" + "T" * 8, 1)], "row_id bigint, k_mer string, methy_label int")
+    targets = spark.createDataFrame([("ACGTA", 1, 0.5, 32), ("ACGTA", 0, 0.5, 30)], "k_mer5 string, methy_label int, target_share double, min_rows int")
+    ranked, plain = [], sampling.with_rank
+
+    def spied(rows, *more):
+        ranked.append(rows.count())
+        return plain(rows, *more)
+
+    monkeypatch.setattr(sampling, "with_rank", spied)
+    assert [tuple(r) for r in sampling.unmet(features, targets).collect()] == [("ACGTA", 1)] and ranked == [61]
+    monkeypatch.setattr(sampling, "with_rank", lambda *a: plain(*a).where("rank % 2 = 0").withColumn("rank", F.col("rank") / 2))
+    with pytest.raises(Exception, match="ranks differ"):
+        sampling.unmet(features, targets).collect()
+
+
 TEXTS = ["", " ", "Hello world", "it's  we'll\n\n\tx", "<|endoftext|>", "naïve Größe 日本語 Привет 🙂🙂", "a" * 3000, "    " * 700, "=-=" * 500, "1234567 89", "\r\n\r\n", " x　y"]
 
 
