@@ -16,13 +16,15 @@ def kmer_counts(rows: DataFrame, kmer: str = "kmer") -> DataFrame:
     return counts.select(kmer, "n_rows", F.round(F.col("n_rows") / F.lit(total), 6).alias("share"))
 
 
-def balanced(negatives: DataFrame, positives: DataFrame, total: int, kmer: str = "kmer", row_id: str = "row_id", seed: int = 1) -> DataFrame:
+def balanced(negatives: DataFrame, positives: DataFrame, total: int | None = None, kmer: str = "kmer", row_id: str = "row_id", seed: int = 1) -> DataFrame:
     """Negatives whose k-mers are mixed as those of the positives: of each k-mer up to ``ceil(total * share)`` rows in random order.
 
-    If that gives fewer than ``total``, the rest comes from negatives of k-mers that the positives lack.
+    ``total`` is the number of positives if it is not given. If the quotas give fewer, the rest comes from negatives of k-mers that the positives lack.
     """
     shares = positives.where(F.col(kmer).isNotNull()).groupBy(kmer).agg(F.count(F.lit(1)).alias("n"))
-    whole = max(1, shares.agg(F.sum("n")).first()[0] or 1)
+    n_positives = shares.agg(F.sum("n")).first()[0] or 0
+    whole = max(1, n_positives)
+    total = n_positives if total is None else total
     quotas = shares.select(kmer, F.ceil(F.col("n") * F.lit(total) / F.lit(whole)).alias("quota"))
     ranked = with_rank(negatives.where(F.col(kmer).isNotNull()), [kmer], [row_id], seed)
     matched = cut(ranked.join(quotas, kmer).where("rank <= quota").drop("rank", "quota"))

@@ -204,8 +204,17 @@ def kmer_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def kmer_quota(spark: SparkSession, d: str) -> DataFrame:
     """How many negatives of each k-mer a balanced choice of 200 takes, those of unmatched k-mers together."""
+    return _quota(spark, d, 200)
+
+
+def kmer_quota_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same of a choice of as many negatives as there are positives."""
+    return _quota(spark, d, None)
+
+
+def _quota(spark: SparkSession, d: str, total: int | None) -> DataFrame:
     rows = _rows(spark, d)
-    chosen = training.balanced(rows.where("label = 0"), rows.where("label = 1"), 200)
+    chosen = training.balanced(rows.where("label = 0"), rows.where("label = 1"), total)
     known = rows.where("label = 1").select("kmer").distinct().withColumn("known", F.lit(True))
     return chosen.join(known, "kmer", "left").groupBy(F.when(F.col("known"), F.col("kmer")).alias("kmer")).agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -258,7 +267,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         motif_sites, motif_iupac, revcomp, proximity_tag, gc_content, mm_skips, ml_quantise, contig_cpg, kmer_codes, signal_zscore, signal_mad, base_stats, signal_rect, signal_picoamps, signal_trim, signal_fft, infonce_cosine,
-        alignment_filters, pct_identity, cigar_lift, signal_alignment_join, kmer_counts, kmer_quota, kmer_sets, split_halves, label_clean, score_means, metrics_classification, metrics_regression, bce,
+        alignment_filters, pct_identity, cigar_lift, signal_alignment_join, kmer_counts, kmer_quota, kmer_quota_whole, kmer_sets, split_halves, label_clean, score_means, metrics_classification, metrics_regression, bce,
     )
 }
 
@@ -307,6 +316,10 @@ select o_orderkey, (max(aligned) + 1)::int as n_places, (sum(r * (i + 1)) + (max
     "kmer_quota": f"""with {_R}, q as (select kmer, ceil(count(*) * 200 / (select count(*) from r where label = 1)::double)::bigint as quota from r where label = 1 group by 1),
 m as (select kmer, least(count(*), any_value(quota)) as n_rows from r join q using (kmer) where label = 0 group by 1),
 o as (select least(greatest(200 - (select sum(n_rows) from m), 0), (select count(*) from r where label = 0 and kmer not in (select kmer from q)))::bigint as n_rows)
+select kmer, n_rows from m union all select null, n_rows from o where n_rows > 0""",
+    "kmer_quota_whole": f"""with {_R}, q as (select kmer, count(*) as quota from r where label = 1 group by 1),
+m as (select kmer, least(count(*), any_value(quota)) as n_rows from r join q using (kmer) where label = 0 group by 1),
+o as (select least(greatest((select count(*) from r where label = 1) - coalesce((select sum(n_rows) from m), 0), 0), (select count(*) from r where label = 0 and kmer not in (select kmer from q)))::bigint as n_rows)
 select kmer, n_rows from m union all select null, n_rows from o where n_rows > 0""",
     "kmer_sets": f"""with {_R}, c as (select kmer, count(*) filter (label = 1) as n_pos, count(*) filter (label = 0) as n_neg from r group by 1)
 select kmer, n_pos, n_neg, case when n_neg = 0 then 'pos' when n_pos = 0 then 'neg' else 'both' end as found_in from c""",

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from strandline.queries import calls
+from strandline.queries import calls, sequences
 
 
 def test_anchors_from_coverage_four(spark, tmp_path):
@@ -29,3 +29,13 @@ def test_anchors_from_coverage_four(spark, tmp_path):
     assert got("anchor_rank_cov4") == Counter(ranks) and got("anchor_windows_cov4") == Counter(windows)
     marks = {(r["chrom"], r["pos"]): r["is_anchor"] for r in calls.site_histogram_norm_cov4(spark, str(tmp_path)).collect()}
     assert marks == {site: n >= 4 for site, n in coverage.items()}
+
+
+def test_quota_of_all_positives(spark, tmp_path):
+    def rows(middle, label, n):
+        return [("A" * 8 + middle + "T" * 8, label)] * n
+
+    listed = rows("ACGTA", 1, 300) + rows("ACGTA", 0, 400) + rows("CCGTA", 1, 200) + rows("CCGTA", 0, 50) + rows("GGGGG", 0, 90) + rows("TTTTT", 1, 10)
+    spark.createDataFrame([(i, *r) for i, r in enumerate(listed)], "row_id bigint, k_mer string, methy_label int").write.parquet(f"{tmp_path}/features.parquet")
+    got = {r["kmer"]: r["n_rows"] for r in sequences.QUERIES["kmer_quota_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"ACGTA": 300, "CCGTA": 50, None: 90}
