@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import seq
@@ -45,7 +45,23 @@ def _shaped(features: DataFrame) -> DataFrame:
     """Rows whose k-mer and arrays have the models' shape, with letter codes and the middle of the k-mer."""
     whole = (F.size("signal_means") == 21) & (F.size("signal_stds") == 21) & (F.size("signal_lens") == 21) & (F.size("raw_signals") == 21) & F.forall("raw_signals", lambda r: F.size(r) == 15)
     rows = features.where(F.col("k_mer").rlike("^[A-Za-z]{21}$") & whole)
-    return rows.select("row_id", seq.codes(F.upper("k_mer")).alias("codes"), "signal_means", "signal_stds", "signal_lens", "raw_signals", F.coalesce(F.col("tag"), F.lit(1)).alias("tag"), seq.centre(F.upper("k_mer")).alias("k_mer"))
+    return rows.select("row_id", F.transform(seq.codes(F.upper("k_mer")), lambda c: F.greatest(c, F.lit(0))).alias("codes"), "signal_means", "signal_stds", "signal_lens", "raw_signals", F.coalesce(F.col("tag"), F.lit(1)).alias("tag"), seq.centre(F.upper("k_mer")).alias("k_mer"))
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def _cleaned(values: Column) -> Column:
+    """Numbers that are not finite, and nulls, as 0."""
+    return F.transform(values, lambda x: F.when(_finite(x.cast("double")), x.cast("double")).otherwise(0.0))
+
+
+def _recorded(samples: Column, length: Column) -> Column:
+    """The samples of a base, NaN where none is recorded: ``length`` of the 15 places are, in the middle."""
+    n = F.least(length, F.lit(15))
+    first = F.floor((15 - n) / 2)
+    return F.transform(samples, lambda x, at: F.when(length.isNotNull() & (at >= first) & (at < first + n) & _finite(x.cast("double")), x.cast("double")).otherwise(float("nan")))
 
 
 CALLED = "row_id bigint, prob_0 double, prob_1 double, called_label int, k_mer string"
@@ -63,16 +79,15 @@ def called(features: DataFrame, weights: Weights) -> DataFrame:
     def run(w: Weights, pdf: pd.DataFrame) -> pd.DataFrame:
         return _as_calls(pdf, models.score_features(w, models.stacked(pdf["codes"]).astype(int), *(models.stacked(pdf[c]) for c in ("signal_means", "signal_stds", "signal_lens", "raw_signals"))))
 
-    return models.score(spread(_shaped(features)), weights, run, CALLED)
+    clean = {c: _cleaned(F.col(c)) for c in ("signal_means", "signal_stds", "signal_lens")} | {"raw_signals": F.transform("raw_signals", _cleaned)}
+    return models.score(spread(_shaped(features)).withColumns(clean), weights, run, CALLED)
 
 
 def called_by_encoder(features: DataFrame, weights: Weights) -> DataFrame:
     """The same by the temporal encoder, which also takes the proximity tag; places without a recorded sample are masked."""
 
     def run(w: Weights, pdf: pd.DataFrame) -> pd.DataFrame:
-        raw, n = models.stacked(pdf["raw_signals"]), np.minimum(models.stacked(pdf["signal_lens"]), 15)
-        first, at = ((15 - n) // 2)[..., None], np.arange(15)
-        raw = np.where((at >= first) & (at < first + n[..., None]) & np.isfinite(raw), raw, np.nan)
-        return _as_calls(pdf, hte.probabilities(w, raw, models.stacked(pdf["codes"]).astype(int), pdf["tag"].to_numpy(float)))
+        return _as_calls(pdf, hte.probabilities(w, models.stacked(pdf["raw_signals"]), models.stacked(pdf["codes"]).astype(int), pdf["tag"].to_numpy(float)))
 
-    return models.score(spread(_shaped(features)), weights, run, CALLED)
+    masked = spread(_shaped(features)).withColumn("raw_signals", F.zip_with("raw_signals", "signal_lens", _recorded))
+    return models.score(masked, weights, run, CALLED)

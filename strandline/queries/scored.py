@@ -24,11 +24,11 @@ def calib_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bilstm_score(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.called(table(spark, d, "features"), models.caller_weights(wide=16))
+    return pipelines.called(table(spark, d, "features"), models.caller_weights())
 
 
 def hte_score(spark: SparkSession, d: str) -> DataFrame:
-    return pipelines.called_by_encoder(table(spark, d, "features"), hte.weights(wide=8))
+    return pipelines.called_by_encoder(table(spark, d, "features"), hte.weights())
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (aggr_score, calib_score, bilstm_score, hte_score)}

@@ -77,11 +77,10 @@ def caller_weights(seed: int = 0, wide: int = 128, layers: int = 3) -> Weights:
 
 
 def score_features(w: Weights, codes: np.ndarray, means: np.ndarray, stds: np.ndarray, lens: np.ndarray, signals: np.ndarray) -> np.ndarray:
-    """Probabilities (rows, 2) from k-mer codes, base statistics (rows, 21) and samples (rows, 21, 15); NaN counts as 0."""
-    clean = lambda x: np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
-    seq = np.concatenate([w["letters"][np.clip(codes, 0, 15)], clean(means)[..., None], clean(stds)[..., None], clean(lens)[..., None]], axis=2)
+    """Probabilities (rows, 2) from k-mer codes, base statistics (rows, 21) and samples (rows, 21, 15), all finite."""
+    seq = np.concatenate([w["letters"][codes], means[..., None], stds[..., None], lens[..., None]], axis=2)
     a = relu(linear(both_ways(lstm, seq, w, "seq"), w, "seq.out"))
-    b = relu(linear(both_ways(lstm, clean(signals), w, "sig"), w, "sig.out"))
+    b = relu(linear(both_ways(lstm, signals, w, "sig"), w, "sig.out"))
     states = np.concatenate([a, b], axis=2)
     i = 0
     while f"both{i}.fwd.w" in w:

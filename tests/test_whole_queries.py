@@ -3,7 +3,8 @@
 import random
 from collections import Counter
 
-from strandline.queries import calls, sequences
+from strandline.plans import pipelines
+from strandline.queries import calls, scored, sequences
 
 
 def test_anchors_from_coverage_four(spark, tmp_path):
@@ -39,3 +40,26 @@ def test_quota_of_all_positives(spark, tmp_path):
     spark.createDataFrame([(i, *r) for i, r in enumerate(listed)], "row_id bigint, k_mer string, methy_label int").write.parquet(f"{tmp_path}/features.parquet")
     got = {r["kmer"]: r["n_rows"] for r in sequences.QUERIES["kmer_quota_whole"](spark, str(tmp_path)).collect()}
     assert got == {"ACGTA": 300, "CCGTA": 50, None: 90}
+
+
+def test_callers_have_their_full_size(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1,)], "row_id bigint").write.parquet(f"{tmp_path}/features.parquet")
+    monkeypatch.setattr(pipelines, "called_by_encoder", lambda _, w: w)
+    monkeypatch.setattr(pipelines, "called", lambda _, w: w)
+    assert sum(v.size for v in scored.hte_score(spark, str(tmp_path)).values()) == 1_358_914
+    assert scored.bilstm_score(spark, str(tmp_path))["out.w"].shape == (256, 2)
+
+
+def test_samples_are_masked_and_cleaned_in_columns(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    samples = [1.0, nan, inf, None, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 11.0, -inf, 13.0, 14.0, 15.0]
+    row = (1, "n" * 20 + "J", [nan, None] + [2.0] * 19, [-inf] + [1.0] * 20, [4, 15, None, 40] + [0] * 17, [samples] * 21, None)
+    features = spark.createDataFrame([row], "row_id bigint, k_mer string, signal_means array<double>, signal_stds array<double>, signal_lens array<int>, raw_signals array<array<double>>, tag int")
+    monkeypatch.setattr(pipelines.models, "score", lambda frame, *_: frame)
+    r = pipelines.called(features, {}).first()
+    assert r["codes"][-1] == 0 and r["signal_means"][:3] == [0, 0, 2] and r["signal_stds"][:2] == [0, 1] and r["signal_lens"][:4] == [4, 15, 0, 40]
+    assert r["raw_signals"][0] == [1, 0, 0, 0, 5, 6, 7, 8, 9, 10, 11, 0, 13, 14, 15]
+    r = pipelines.called_by_encoder(features, {}).first()
+    kept = [{i: x for i, x in enumerate(base) if x == x} for base in r["raw_signals"]]
+    whole = {i: x for i, x in enumerate(samples) if x is not None and abs(x) < inf}
+    assert kept[0] == {i: samples[i] for i in (5, 6, 7, 8)} and kept[1] == kept[3] == whole and kept[2] == kept[4] == {}
