@@ -183,8 +183,17 @@ def cigar_lift(spark: SparkSession, d: str) -> DataFrame:
 
 def signal_alignment_join(spark: SparkSession, d: str) -> DataFrame:
     """Signals with the primary alignments of their read."""
+    return _joined(spark, d, _alignments(spark, d))
+
+
+def signal_alignment_join_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same where every order is a read of its own, so that all signals take part."""
+    return _joined(spark, d, _alignments(spark, d).withColumn("read_id", F.concat(F.lit("r"), F.col("o_orderkey"))))
+
+
+def _joined(spark: SparkSession, d: str, alignments: DataFrame) -> DataFrame:
     signals = table(spark, d, "embeddings").select(F.concat(F.lit("r"), F.col("vec_id")).alias("read_id"), F.size("embedding").alias("n_samples"))
-    primary = _alignments(spark, d).where(filters.is_primary(F.col("flag"))).select("read_id", "o_orderkey", "mapq")
+    primary = alignments.where(filters.is_primary(F.col("flag"))).select("read_id", "o_orderkey", "mapq")
     return signals.join(primary, "read_id").groupBy("read_id").agg(F.count(F.lit(1)).alias("n_alignments"), F.max("mapq").alias("best_mapq"), F.max("n_samples").alias("n_samples"))
 
 
@@ -267,7 +276,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         motif_sites, motif_iupac, revcomp, proximity_tag, gc_content, mm_skips, ml_quantise, contig_cpg, kmer_codes, signal_zscore, signal_mad, base_stats, signal_rect, signal_picoamps, signal_trim, signal_fft, infonce_cosine,
-        alignment_filters, pct_identity, cigar_lift, signal_alignment_join, kmer_counts, kmer_quota, kmer_quota_whole, kmer_sets, split_halves, label_clean, score_means, metrics_classification, metrics_regression, bce,
+        alignment_filters, pct_identity, cigar_lift, signal_alignment_join, signal_alignment_join_whole, kmer_counts, kmer_quota, kmer_quota_whole, kmer_sets, split_halves, label_clean, score_means, metrics_classification, metrics_regression, bce,
     )
 }
 
@@ -312,6 +321,7 @@ p as (select o_orderkey, kind, aligned, i, case kind when 1 then case when i < (
 select o_orderkey, (max(aligned) + 1)::int as n_places, (sum(r * (i + 1)) + (max(aligned) + 1) * max(case kind when 0 then 100 when 1 then 95 when 2 then 105 else 90 end))::bigint as place_mix,
   max(case kind when 0 then 100 when 1 then 95 when 2 then 105 else 90 end)::int as n_back from p group by 1""",
     "signal_alignment_join": f"""with {_A} select read_id, count(*) as n_alignments, max(mapq)::int as best_mapq, max(len(embedding))::int as n_samples from embeddings e join a on a.read_id = 'r' || e.vec_id where flag <> 256 group by 1""",
+    "signal_alignment_join_whole": f"""with {_A} select 'r' || o_orderkey as read_id, count(*) as n_alignments, max(mapq)::int as best_mapq, max(len(embedding))::int as n_samples from embeddings e join a on a.o_orderkey = e.vec_id where flag <> 256 group by 1""",
     "kmer_counts": f"with {_R} select kmer, count(*) as n_rows, round(count(*) / (select count(*) from r)::double, 6) as share from r group by 1",
     "kmer_quota": f"""with {_R}, q as (select kmer, ceil(count(*) * 200 / (select count(*) from r where label = 1)::double)::bigint as quota from r where label = 1 group by 1),
 m as (select kmer, least(count(*), any_value(quota)) as n_rows from r join q using (kmer) where label = 0 group by 1),

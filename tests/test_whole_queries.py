@@ -63,3 +63,10 @@ def test_samples_are_masked_and_cleaned_in_columns(spark, monkeypatch):
     kept = [{i: x for i, x in enumerate(base) if x == x} for base in r["raw_signals"]]
     whole = {i: x for i, x in enumerate(samples) if x is not None and abs(x) < inf}
     assert kept[0] == {i: samples[i] for i in (5, 6, 7, 8)} and kept[1] == kept[3] == whole and kept[2] == kept[4] == {}
+
+
+def test_every_signal_meets_its_alignment(spark, tmp_path):
+    spark.createDataFrame([(i, [0.5] * 4) for i in range(0, 1200, 3)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, i * 7) for i in range(1500)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted(map(tuple, sequences.QUERIES["signal_alignment_join_whole"](spark, str(tmp_path)).collect()))
+    assert got == sorted((f"r{i}", 1, i * 7 % 60, 4) for i in range(0, 1200, 3) if i % 5 != 1)
