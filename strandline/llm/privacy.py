@@ -13,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -90,7 +91,7 @@ _UNIT = regex.compile(r"\s?(?:crowns|ducats|marks|taler|euros?|dollars?|pounds|k
 
 
 def _inside(pattern: regex.Pattern, text: str) -> Iterator[regex.Match]:
-    """Matches that begin in a stretch with at least six digits close together; numbers stand nowhere else."""
+    """Matches that begin in a stretch with at least six digits close together, or at most four letters before it."""
     for stretch in _FIGURES.finditer(text):
         at = max(0, stretch.start() - 4)
         while at < stretch.end():
@@ -127,6 +128,8 @@ _ID = regex.compile(
     r"|(?P<plain>\d{9,13}|\d{2,3}(?: \d{3}){2,3})"
     r")(?![\p{L}\p{N}]|[.,:/\-]\d)"
 )
+#: Letters may stand between the digits of an account number, so it is searched in the whole text.
+_IBAN = regex.compile(r"(?<![\p{L}\p{N}.,:/\-+])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\p{L}\p{N}]|[.,:/\-]\d)")
 _ID_LABEL = regex.compile(
     r"(?:\bssn|\bni number|national insurance|insurance (?:no|number)|passport|pasaporte|passeport|reisepass|personalausweis|ausweis|national id|identity (?:no|number|card)|\bid (?:no|number|card)|\bid\b|\bdni\b|\bnie\b|\bnif\b"
     r"|\btin\b|tax (?:no|number|id)|steuer(?:nummer|-?id|-?nr)|num[ée]ro fiscal|s[ée]curit[ée] sociale|паспорт|инн|снилс)[\s.:#=]*(?:(?:no|nr|nº|n\.º|number|card|№)[\s.:#=]*)?$",
@@ -136,7 +139,7 @@ _NOT_ID = regex.compile(r"(?:isbn|issn|catalogue|inventory|shelf|edition|lot|pop
 
 
 def _ids(text: str) -> Iterator[tuple[int, int, int]]:
-    for m in _inside(_ID, text):
+    for m in chain(_inside(_ID, text), _IBAN.finditer(text)):
         kind, found = m.lastgroup, m.group()
         digits = "".join(c for c in found if c.isdigit())
         score = {"ssn": 3 if "-" in found else 1, "nino": 3, "passport": 0, "dotted": 3, "dashed": 1, "iban": 0, "plain": 0}[kind]

@@ -224,6 +224,12 @@ def test_personal_information(text, want):
         assert redacted == text
 
 
+@pytest.mark.parametrize("number", ["GB82WEST12345698765432", "NL91 ABNA 0417 1643 00", "DE89 3704 0044 0532 0130 00"])
+def test_account_numbers(number):
+    text = f"pay to {number}, please; not to {number[:2]}00{number[4:]}"
+    assert [(s.kind, text[s.start : s.end]) for s in privacy.Finder(GIVEN, FAMILY).find(text)][:1] == [("id_number", number)]
+
+
 def test_checksums():
     assert privacy.luhn("4539578763621486") and not privacy.luhn("4539578763621487")
     assert privacy.mod97("GB82WEST12345698765432") and not privacy.mod97("GB83WEST12345698765432")
