@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import BROADCAST_ROWS
+from strandline.session import maybe_broadcast
 
 
 def contigs(frame: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), column: str = "chrom") -> DataFrame:
@@ -18,9 +18,9 @@ def contigs(frame: DataFrame, include: Sequence[str] = (), exclude: Sequence[str
 
 
 def at_positions(calls: DataFrame, positions: DataFrame) -> DataFrame:
-    """Calls at listed positions, strand included. The list is broadcast only if it is short."""
+    """Calls at listed positions, strand included. The list is broadcast only if it is small."""
     keys = positions.select("chrom", "pos", "strand").dropna().distinct()
-    return calls.join(F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys, ["chrom", "pos", "strand"], "left_semi")
+    return calls.join(maybe_broadcast(keys), ["chrom", "pos", "strand"], "left_semi")
 
 
 def is_primary(flag: Column) -> Column:

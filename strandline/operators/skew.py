@@ -1,63 +1,95 @@
 """Keys that hold most rows: two-stage salted aggregation, and joins that split such keys.
 
 A key that holds at least ``min_share`` of the rows is heavy; there can be at most ``1 / min_share``
-of them, so their list is bounded whatever the size of the data. Rows of heavy keys get a salt, partial
-results are computed for each (key, salt), and the partials are merged by the original key.
+of them, so their list is bounded whatever the size of the data. Candidates come from a mergeable sketch of frequent
+items, which takes one pass over the keys and no shuffle of them. Rows of candidates get a salt, partial
+results are computed for each (key, salt), and the partials are merged by the original key; that also makes counts exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import BROADCAST_ROWS, cut
+from strandline.session import BROADCAST_BYTES, BROADCAST_ROWS, cut, is_small
 
 MIN_SHARE = 0.01
 SALTS = 64
+#: Keys that the sketch follows: it errs by at most 3.5 / TRACKED of the rows, far below any share asked for.
+TRACKED = 65_536
 
 #: How partials of each kind are computed and merged.
 PARTIAL = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
+@dataclass(frozen=True)
+class Candidates:
+    """Hashes of keys that may be heavy, every heavy key among them, and the number of all rows."""
+
+    keys: tuple[str, ...]
+    hashes: tuple[int, ...]
+    total: int
+
+    def contains(self) -> Column:
+        """Whether a row's key is a candidate; false where a part of the key is null."""
+        return _hash(self.keys).isin(list(self.hashes)) if self.hashes else F.lit(False)
+
+
+def _hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
+def candidates(frame: DataFrame, keys: Sequence[str], min_share: float = MIN_SHARE) -> Candidates:
+    """The keys that may hold ``min_share`` of all rows of the frame.
+
+    One pass: each task sketches the hashes of its keys, the sketches are merged, and at most ``2 / min_share`` items
+    reach the driver. No heavy key is missed: the sketch's error is far below the share, and fewer than
+    ``2 / min_share`` keys can stand before it. A key with a null part is no key, but its rows count in the total. An empty frame has none.
+    """
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    most = max(1, min(TRACKED, int(2 / min_share)))
+    sketched = frame.select(F.when(whole, _hash(keys)).alias("h"))
+    top, total = sketched.agg(F.expr(f"approx_top_k(h, {most}, {TRACKED})"), F.count(F.lit(1))).first()
+    return Candidates(tuple(keys), tuple(x["item"] for x in top or () if x["item"] is not None), total)
+
+
+def heavy_counts(frame: DataFrame, keys: Sequence[str], spread: Sequence[str], min_share: float = MIN_SHARE) -> DataFrame:
+    """``keys, n_rows`` of the keys that hold at least ``min_share`` of all rows: candidates of the sketch, counted exactly in two salted stages.
+
+    Reads the frame twice. Rows with a null in a key count in the total only.
+    """
+    found = candidates(frame, keys, min_share)
+    least = max(1, math.ceil(Fraction(str(min_share)) * found.total))
+    counted = salted_aggregate(frame.where(found.contains()), keys, {"n_rows": ("count", F.lit(1))}, spread, min_share, heavy=found)
+    return counted.where(F.col("n_rows") >= least)
+
+
 def heavy_keys(frame: DataFrame, keys: Sequence[str], min_share: float = MIN_SHARE) -> list:
-    """The keys that hold at least ``min_share`` of all rows of the frame, as rows of ``keys`` and ``n_rows``.
+    """The keys that hold at least ``min_share`` of all rows, as rows of ``keys`` and ``n_rows``; at most ``1 / min_share`` reach the driver.
 
-    Counts are exact and combined on the map side. A key with a null part is no key, but its rows count
-    in the total. At most ``1 / min_share`` rows reach the driver. An empty frame has no heavy keys.
+    Salts are hashes of all columns of the frame. An empty frame has no heavy keys.
     """
-    counts = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    counts.persist()
-    try:
-        total = counts.agg(F.sum("n_rows")).first()[0] or 0
-        least = max(1, -(-total * min_share // 1))
-        return counts.where(F.col("n_rows") >= least).dropna(subset=list(keys)).collect() if total else []
-    finally:
-        counts.unpersist()
-
-
-def is_heavy(keys: Sequence[str], heavy: Sequence) -> Column:
-    """Whether a row's key is among the heavy ones."""
-    if not heavy:
-        return F.lit(False)
-    if len(keys) == 1:
-        return F.coalesce(F.col(keys[0]).isin([h[keys[0]] for h in heavy]), F.lit(False))
-    key = F.struct(*keys)
-    return F.coalesce(key.isin([F.struct(*[F.lit(h[k]).alias(k) for k in keys]) for h in heavy]), F.lit(False))
-
-
-def salted_aggregate(frame: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[str, Column]], spread: Sequence[str], min_share: float = MIN_SHARE, salts: int = SALTS) -> DataFrame:
+    return heavy_counts(frame, keys, frame.columns, min_share).collect()
+
+
+def salted_aggregate(frame: DataFrame, keys: Sequence[str], aggregates: dict[str, tuple[str, Column]], spread: Sequence[str], min_share: float = MIN_SHARE, salts: int = SALTS, heavy: Candidates | None = None) -> DataFrame:
     """Results per key without a task that does most of the work.
 
     ``aggregates`` maps a name to a kind of :data:`PARTIAL` and its argument. ``spread`` names columns that
     tell rows of one key apart (a row id); their hash is the salt, so that a task that is run again
-    salts as before. Rows with a null in a key are left out. Exact; an empty frame gives no rows.
+    salts as before. ``heavy`` names candidates that are known already. Rows with a null in a key are left out. Exact; an empty frame gives no rows.
     """
     keyed = frame.dropna(subset=list(keys))
-    heavy = heavy_keys(frame, keys, min_share)
-    salt = F.when(is_heavy(keys, heavy), F.pmod(F.xxhash64(*spread, F.lit(11)), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    heavy = candidates(frame, keys, min_share) if heavy is None else heavy
+    salt = F.when(heavy.contains(), F.pmod(F.xxhash64(*spread, F.lit(11)), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     partial = keyed.withColumn("_salt", salt).groupBy(*keys, "_salt").agg(*[PARTIAL[kind](column).alias(name) for name, (kind, column) in aggregates.items()])
     return partial.groupBy(*keys).agg(*[MERGE[kind](name).alias(name) for name, (kind, _) in aggregates.items()])
 
@@ -65,16 +97,15 @@ def salted_aggregate(frame: DataFrame, keys: Sequence[str], aggregates: dict[str
 def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large left side to a right side that has one row per key.
 
-    The right side is computed once and counted. Up to ``broadcast_rows`` rows it is broadcast. Beyond
-    that, the left rows of heavy keys meet a broadcast of just those keys' rows (at most ``1 / min_share``)
+    The right side is computed once, counted and measured. Up to ``broadcast_rows`` rows and ``BROADCAST_BYTES`` it is broadcast. Beyond
+    that, the left rows of heavy keys meet a broadcast of just those keys' rows (at most ``2 / min_share``)
     and all others are joined by a shuffle on the key, in which no key holds more than ``min_share``.
     Null keys match nothing; with ``how="left"`` their rows stay.
     """
     right = cut(right)
-    if right.count() <= broadcast_rows:
+    if is_small(right, broadcast_rows, BROADCAST_BYTES):
         return left.join(F.broadcast(right), key, how)
-    heavy = heavy_keys(left.select(key), [key], min_share)
-    at = is_heavy([key], heavy)
+    at = candidates(left.select(key), [key], min_share).contains()
     hot = left.where(at).join(F.broadcast(right.where(at)), key, how)
     nulls = left.where(F.col(key).isNull())
     cold = left.where(~at & F.col(key).isNotNull()).join(right.where(~at), key, how)

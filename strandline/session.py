@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: A side of a join is broadcast only if it has at most this many (narrow) rows.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only if it has at most this many rows and this many bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -48,3 +50,26 @@ def spread(frame: DataFrame) -> DataFrame:
     """The frame over all cores, if it is scanned in fewer tasks than there are cores: for work that is heavy per row."""
     cores = frame.sparkSession.sparkContext.defaultParallelism
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
+def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a frame may be broadcast: its rows and the bytes of its values are counted, no further than just beyond the limit.
+
+    Text and nested columns are measured, others count as 8 bytes. The frame should be cheap to compute again or cut.
+    """
+    parts = []
+    for field in frame.schema.fields:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)))
+        elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            parts.append(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`")))))
+        else:
+            parts.append(F.lit(8))
+    width = sum(parts, F.lit(16)).cast("bigint")
+    n, total = frame.select(width.alias("w")).limit(rows + 1).agg(F.count("w"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
+def maybe_broadcast(frame: DataFrame) -> DataFrame:
+    """The frame with a broadcast hint if it is small; else as it is, for a join by shuffle."""
+    return F.broadcast(frame) if is_small(frame) else frame

@@ -6,22 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.schemas import CALLS
-
-
-def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths, each of which must exist in its file system."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        if not place.getFileSystem(conf).exists(place):
-            raise ValueError(f"no such file or folder: {path}")
-    return paths
+from strandline.sources.files import existing
+from strandline.sources.records import numbered_lines, records
 
 
 def lines(spark: SparkSession, paths: list[str], name_part: str = "") -> DataFrame:
     """``file_name, value`` of the lines of text files, compressed or not; of a folder those whose name contains ``name_part``."""
     reader = spark.read.option("pathGlobFilter", f"*{name_part}*") if name_part else spark.read
-    return reader.text(_existing(spark, paths)).select(F.col("_metadata.file_path").alias("file_name"), "value")
+    return reader.text(existing(spark, paths)).select(F.col("_metadata.file_path").alias("file_name"), "value")
 
 
 def read_calls(spark: SparkSession, paths: list[str], name_part: str = "") -> DataFrame:
@@ -29,7 +21,7 @@ def read_calls(spark: SparkSession, paths: list[str], name_part: str = "") -> Da
 
     ``.`` stands for a missing place in the strand. A rejected row keeps its line in ``raw`` and has null values.
     """
-    text = lines(spark, paths, name_part).withColumn("row_id", F.monotonically_increasing_id())
+    text = numbered_lines(spark, paths, name_part).withColumnRenamed("line_no", "row_id")
     cut = F.split(F.regexp_replace("value", r"\s+$", ""), "\t")
     names = [part.split() for part in CALLS.split(", ")]
     optional = {"pos_in_strand"}
@@ -43,8 +35,8 @@ def read_calls(spark: SparkSession, paths: list[str], name_part: str = "") -> Da
 
 
 def read_feature_lines(spark: SparkSession, paths: list[str], name_part: str = "") -> DataFrame:
-    """``line_no, file_name, line_text`` for the parser of feature lines."""
-    return lines(spark, paths, name_part).select(F.monotonically_increasing_id().alias("line_no"), "file_name", F.col("value").alias("line_text"))
+    """``line_no, file_name, line_text`` for the parser of feature lines, records assembled over line breaks inside enclosed fields."""
+    return records(spark, paths, name_part)
 
 
 def read_positions(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -55,7 +47,7 @@ def read_positions(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``contig, seq, length``: records are split at ``>``; the contig is the first word, letters come out upper case."""
-    records = spark.read.option("lineSep", ">").text(_existing(spark, paths)).where(F.length(F.trim("value")) > 0)
+    records = spark.read.option("lineSep", ">").text(existing(spark, paths)).where(F.length(F.trim("value")) > 0)
     head, body = F.regexp_extract("value", r"^(\S+)", 1), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s", "")
     return records.select(head.alias("contig"), F.upper(body).alias("seq")).withColumn("length", F.length("seq"))
 
