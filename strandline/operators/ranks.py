@@ -1,7 +1,7 @@
 """Running totals and ranks in a random but repeatable order, without a sort of the whole table in one task.
 
-The order is that of a hash. Its leading bits are a bucket; buckets are summed, their prefix sums taken (a fixed
-number of rows for each group), and only the order inside a bucket is left to a window.
+The order is that of a hash. Its leading bits are a bucket; buckets are summed, their prefix sums taken (a bounded
+number of rows for each group), and only the order inside a bucket is left to a window: 1 / 65536 of a group.
 """
 
 from __future__ import annotations
@@ -11,15 +11,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from strandline.session import cut, shuffle_partitions
 
+BUCKETS = 1 << 16
+#: Fixed values of the integer hash, which SQL engines can compute as well.
+_MULTIPLIER, _MASK = 73244475, 0xFFFFFFFF
 
-def with_running_total(frame: DataFrame, group: Sequence[str], tie: Sequence[str], amount: Column, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+
+def mixed(number: Column, seed: int = 0) -> Column:
+    """A hash in 0..2^32-1 of a whole number, made of shifts and products that stay below 2^60."""
+    value = (number.bitwiseXOR(F.shiftright(number, 32)).bitwiseAND(_MASK) + seed).bitwiseAND(_MASK)
+    for _ in range(3):
+        value = (value.bitwiseXOR(F.shiftright(value, 16)) * F.lit(_MULTIPLIER).cast("bigint")).bitwiseAND(_MASK)
+    return value.bitwiseXOR(F.shiftright(value, 16))
+
+
+def mixed_sql(number: str, seed: int = 0) -> str:
+    """The SQL of :func:`mixed`."""
+    value = f"((xor({number}, {number} >> 32) & {_MASK}) + {seed}) & {_MASK}"
+    for _ in range(3):
+        value = f"list_transform([{value}], lambda h: (xor(h, h >> 16) * {_MULTIPLIER}) & {_MASK})[1]"
+    return f"list_transform([{value}], lambda h: xor(h, h >> 16))[1]"
+
+
+def hash_bucket(tie: Sequence[str], seed: int = 0, buckets: int = BUCKETS) -> Column:
+    """The bucket of a row in hash order."""
+    return _bucket(_hash(tie, seed), buckets)
+
+
+def _hash(tie: Sequence[str], seed: int) -> Column:
+    return F.xxhash64(*tie, F.lit(seed)).bitwiseAND(_MASK)
+
+
+def _bucket(order: Column, buckets: int) -> Column:
+    return F.floor(order * buckets / (_MASK + 1)).cast("int")
+
+
+def with_running_total(frame: DataFrame, group: Sequence[str], tie: Sequence[str], amount: Column, seed: int = 0, buckets: int = BUCKETS, order: Column | None = None) -> DataFrame:
     """Adds ``running_before``: the sum of ``amount`` over the rows that come earlier in the group's hash order.
 
-    ``tie`` names columns that tell rows apart; their hash with ``seed`` makes the order. A null amount counts as 0.
+    ``tie`` names columns that tell rows apart; their hash with ``seed`` makes the order, or ``order`` does, a number in
+    0..2^32-1. Rows of equal order stand by ``tie``. A null amount counts as 0.
     """
-    hashed = frame.withColumn("_hash", F.xxhash64(*tie, F.lit(seed))).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(buckets)).cast("int")).withColumn("_amount", F.coalesce(amount, F.lit(0)))
+    hashed = frame.withColumn("_hash", _hash(tie, seed) if order is None else order).withColumn("_amount", F.coalesce(amount, F.lit(0)))
+    hashed = hashed.withColumn("_bucket", _bucket(F.col("_hash"), buckets))
     sums = hashed.groupBy(*group, "_bucket").agg(F.sum("_amount").alias("_here"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, "_bucket", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_offset"))
@@ -28,6 +63,22 @@ def with_running_total(frame: DataFrame, group: Sequence[str], tie: Sequence[str
     return joined.withColumn("running_before", F.col("_offset") + F.coalesce(F.sum("_amount").over(inside), F.lit(0))).drop("_hash", "_bucket", "_amount", "_offset")
 
 
-def with_rank(frame: DataFrame, group: Sequence[str], tie: Sequence[str], seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+def with_rank(frame: DataFrame, group: Sequence[str], tie: Sequence[str], seed: int = 0, buckets: int = BUCKETS, order: Column | None = None) -> DataFrame:
     """Adds ``rank``: 1, 2, ... in the group's hash order."""
-    return with_running_total(frame, group, tie, F.lit(1), seed, buckets).withColumn("rank", F.col("running_before") + 1).drop("running_before")
+    return with_running_total(frame, group, tie, F.lit(1), seed, buckets, order).withColumn("rank", F.col("running_before") + 1).drop("running_before")
+
+
+def first_rows(frame: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
+    """The ``n`` first rows in the order of ``keys``, which tell rows apart; all if there are fewer.
+
+    Rows are sorted by range; the numbers of rows of the ranges (one count a partition) give each row its place,
+    so neither the driver nor one task ever holds the chosen rows.
+    """
+    spark = frame.sparkSession
+    ordered = frame.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    # sorted once and cut: ranges are drawn anew whenever they are computed
+    placed = cut(ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_pid").where(F.col("_start") + F.col("_place") < n).drop("_pid", "_place", "_start")

@@ -94,7 +94,25 @@ def salted_aggregate(frame: DataFrame, keys: Sequence[str], aggregates: dict[str
     return partial.groupBy(*keys).agg(*[MERGE[kind](name).alias(name) for name, (kind, _) in aggregates.items()])
 
 
-def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+@dataclass(frozen=True)
+class Side:
+    """The right side of :func:`split_join`, computed once, and whether it may be broadcast."""
+
+    frame: DataFrame
+    small: bool
+
+    def select(self, *columns) -> Side:
+        """The same rows with other names; columns may be left out, none made longer."""
+        return Side(self.frame.select(*columns), self.small)
+
+
+def side(right: DataFrame, rows: int = BROADCAST_ROWS, ready: bool = False) -> Side:
+    """Compute a side once (unless it is ``ready``, cut or read from a table), count and measure it."""
+    right = right if ready else cut(right)
+    return Side(right, is_small(right, rows, BROADCAST_BYTES))
+
+
+def split_join(left: DataFrame, right: DataFrame | Side, key: str, how: str = "left", min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large left side to a right side that has one row per key.
 
     The right side is computed once, counted and measured. Up to ``broadcast_rows`` rows and ``BROADCAST_BYTES`` it is broadcast. Beyond
@@ -102,8 +120,9 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", m
     and all others are joined by a shuffle on the key, in which no key holds more than ``min_share``.
     Null keys match nothing; with ``how="left"`` their rows stay.
     """
-    right = cut(right)
-    if is_small(right, broadcast_rows, BROADCAST_BYTES):
+    known = right if isinstance(right, Side) else side(right, broadcast_rows)
+    right = known.frame
+    if known.small:
         return left.join(F.broadcast(right), key, how)
     at = candidates(left.select(key), [key], min_share).contains()
     hot = left.where(at).join(F.broadcast(right.where(at)), key, how)
