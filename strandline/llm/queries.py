@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import mixing, privacy, sampling, splits, tokens
+from strandline.operators.ranks import mixed_sql
 from strandline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,18 @@ def p2_forest(spark: SparkSession, d: str) -> DataFrame:
     return splits.related_groups(table(spark, d, "features"), table(spark, d, "contigs"), table(spark, d, "contig_names"))[1].edges
 
 
+def p2_split_report(spark: SparkSession, d: str) -> DataFrame:
+    """Of the dealt rows: all of them, their groups, groups in several splits, and whether each split has its share within one percent."""
+    rows = splits.split_report(p2_split(spark, d))
+    near = F.abs(F.col("share") - F.col("target_share")) <= 0.01
+    return rows.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_groups").alias("n_groups"), F.sum("n_mixed_groups").alias("n_mixed_groups"), F.bool_and(near).alias("shares_met"))
+
+
+def p2_forest_report(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes, groups and edges of the forest."""
+    return splits.forest_report(splits.related_groups(table(spark, d, "features"), table(spark, d, "contigs"), table(spark, d, "contig_names"))[1])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return sampling.unmet(table(spark, d, "features"), table(spark, d, "sample_targets"))
 
@@ -68,14 +81,9 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return privacy.redact(table(spark, d, "documents"), table(spark, d, "name_parts"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_split, p2_forest, p5_found, p5_sample, p5_report, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_split, p2_forest, p2_split_report, p2_forest_report, p5_found, p5_sample, p5_report, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_redacted)}
 
-ORACLES: dict[str, str] = {
-    "p5_found": """with p as (select upper(substr(k_mer, 9, 5)) as k_mer5, methy_label from features where regexp_full_match(k_mer, '[A-Za-z]{21}') and methy_label in (0, 1)),
-c as (select k_mer5, methy_label, count(*) as n from p group by 1, 2)
-select t.k_mer5, t.methy_label from sample_targets t left join c using (k_mer5, methy_label)
-where coalesce(n, 0) < greatest(t.min_rows, ceil(t.target_share::decimal(18, 9) * ((select count(*) from p) // 10)::decimal(18, 0)))""",
-    "p2_found": r"""with recursive names as (select lower(trim(contig)) as spelling, contig, 0 as k from contigs union all select lower(trim(alias_name)), contig, 1 from contig_names),
+_GROUPS = r"""names as (select lower(trim(contig)) as spelling, contig, 0 as k from contigs union all select lower(trim(alias_name)), contig, 1 from contig_names),
 known as (select spelling, arg_min(contig, (k, contig)) as contig from names group by 1),
 f as (select row_id, nullif(nullif(lower(regexp_extract(readname, '^\s*@?\s*([^\s@]\S*)', 1)), ''), '.') as r, nullif(nullif(lower(regexp_replace(chrom, '^\s+|\s+$', '', 'g')), ''), '.') as spelling from features),
 k as (select row_id, r, coalesce(contig, f.spelling) as c from f left join known using (spelling)),
@@ -83,6 +91,29 @@ links as (select distinct 'r' || r as u, 'c' || c as v from k where r is not nul
 e as (select u, v from links union select v, u from links),
 n as (select 'r' || r as node from k where r is not null union select 'c' || c from k where c is not null),
 reach as (select node, node as other from n union select e.v, reach.other from reach join e on e.u = reach.node),
-g as (select node, coalesce(min(substr(other, 2)) filter (starts_with(other, 'c')), min(substr(other, 2)) filter (starts_with(other, 'r'))) as group_key from reach group by 1)
+g as (select node, coalesce(min(substr(other, 2)) filter (starts_with(other, 'c')), min(substr(other, 2)) filter (starts_with(other, 'r'))) as group_key from reach group by 1)"""
+_POPULATION = "p as (select row_id, upper(substr(k_mer, 9, 5)) as k_mer5, methy_label from features where regexp_full_match(k_mer, '[A-Za-z]{21}') and methy_label in (0, 1))"
+_DRAWN = f"""{_POPULATION},
+n as (select count(*) as n, count(*) // 10 as size from p),
+w as (select k_mer5, methy_label, sum(target_share) as t, max(min_rows) as least from sample_targets group by 1, 2),
+k as (select *, row_number() over (partition by k_mer5, methy_label order by {mixed_sql("row_id", 5)}, row_id) as rank from p),
+e as (select k.*, t, (rank - 0.5) / t as priority, rank > least as beyond from k join w using (k_mer5, methy_label) where rank <= least or t > 0),
+d as (select * from e qualify row_number() over (order by beyond, priority, k_mer5, methy_label, rank) <= (select size from n))"""
+
+ORACLES: dict[str, str] = {
+    "p5_found": """with p as (select upper(substr(k_mer, 9, 5)) as k_mer5, methy_label from features where regexp_full_match(k_mer, '[A-Za-z]{21}') and methy_label in (0, 1)),
+c as (select k_mer5, methy_label, count(*) as n from p group by 1, 2)
+select t.k_mer5, t.methy_label from sample_targets t left join c using (k_mer5, methy_label)
+where coalesce(n, 0) < greatest(t.min_rows, ceil(t.target_share::decimal(18, 9) * ((select count(*) from p) // 10)::decimal(18, 0)))""",
+    "p5_sample": f"with {_DRAWN} select row_id, k_mer5, methy_label, rank, priority from d",
+    "p5_report": f"""with {_DRAWN}, c as (select k_mer5, methy_label, count(*) as n_available from p group by 1, 2), g as (select k_mer5, methy_label, count(*) as n_drawn from d group by 1, 2)
+select w.k_mer5, w.methy_label, t as target_share, least as min_rows, coalesce(n_available, 0) as n_available, greatest(least, ceil(t::decimal(18, 9) * (select size from n)::decimal(18, 0)))::bigint as n_needed,
+  coalesce(n_drawn, 0) as n_drawn, round(coalesce(n_drawn, 0) / (select count(*) from d)::double, 6) as drawn_share, coalesce(n_available, 0) >= greatest(least, ceil(t::decimal(18, 9) * (select size from n)::decimal(18, 0))) as is_met
+from w left join c using (k_mer5, methy_label) left join g using (k_mer5, methy_label)""",
+    "p2_found": f"""with recursive {_GROUPS}
 select row_id, group_key from k join g on g.node = coalesce('c' || c, 'r' || r)""",
+    "p2_split_report": f"""with recursive {_GROUPS}
+select count(*) as n_rows, count(distinct coalesce(group_key, 'row:' || row_id)) as n_groups, 0::bigint as n_mixed_groups, true as shares_met from k left join g on g.node = coalesce('c' || c, 'r' || r)""",
+    "p2_forest_report": f"""with recursive {_GROUPS}
+select count(*) as n_nodes, count(distinct group_key) as n_groups, count(*) - count(distinct group_key) as n_edges, 0::bigint as n_lost_edges from g""",
 }

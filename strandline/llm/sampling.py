@@ -7,13 +7,10 @@ all others. Seats that an exhausted category cannot fill go to the next prioriti
 
 from __future__ import annotations
 
-import heapq
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.ranks import with_rank
+from strandline.operators.ranks import first_rows, mixed, with_rank
 from strandline.session import cut
 
 CATEGORY = ["k_mer5", "methy_label"]
@@ -40,72 +37,52 @@ def needs(rows: DataFrame, targets: DataFrame, divisor: int = 10) -> tuple[DataF
     return joined.withColumn("n_needed", F.greatest(F.col("min_rows").cast("bigint"), share)), size
 
 
-def unmet(features: DataFrame, targets: DataFrame, seed: int = 5) -> DataFrame:
-    """``k_mer5, methy_label`` of the categories that cannot be met without repeating rows.
-
-    Every row of the population gets its random rank, as for the sample; a category is unmet if its greatest rank is below
-    what it needs. Ranks must reach exactly as far as the category has rows, else the query fails.
-    """
-    rows = population(features)
-    reached = with_rank(rows, CATEGORY, ["row_id"], seed).groupBy(*CATEGORY).agg(F.max("rank").alias("_reached"))
-    joined = needs(rows, targets)[0].join(reached, CATEGORY, "left").withColumn("_reached", F.coalesce("_reached", F.lit(0)))
-    exact = F.when(F.col("_reached") == F.col("n_available"), F.col("_reached")).otherwise(F.raise_error(F.lit("ranks differ from the rows of a category")).cast("bigint"))
-    return joined.where(exact < F.col("n_needed")).select(*CATEGORY)
+def ranked(rows: DataFrame, seed: int = 5) -> DataFrame:
+    """The population with ``rank``: each row's place, from 1, in the random order of its category."""
+    return with_rank(rows, CATEGORY, ["row_id"], order=mixed(F.col("row_id"), seed))
 
 
-def seats(categories: list[tuple[float, int, int]], size: int) -> list[int]:
-    """How many rows each category (target, minimum, available) gives to a sample of ``size`` rows.
-
-    The ``size`` smallest of the keys (beyond the minimum?, (rank - 1/2) / target, category) of all rows.
-    The work follows the number of categories, not of rows.
-    """
-    floors = [min(least, have) for _, least, have in categories]
-    below = sum(floors) >= size  # only rows inside the minimum get a seat
-    cap = floors if below else [have if t > 0 else floor for (t, _, have), floor in zip(categories, floors)]
-    base = [0] * len(categories) if below else floors
-    left = min(size, sum(cap))
-    held = lambda limit: [min(c, max(b, math.floor(limit * t + 0.5))) for (t, _, _), b, c in zip(categories, base, cap)]
-    low, high = 0.0, 1.0
-    while sum(held(high)) < left and high < 1e30:
-        high *= 2
-    for _ in range(200):
-        middle = (low + high) / 2
-        low, high = (middle, high) if sum(held(middle)) <= left else (low, middle)
-    got = [max(b, g - 1) for b, g in zip(base, held(low))]  # one step back: the last seats go by the keys themselves
-    queue = [((g + 0.5) / t if t > 0 else math.inf, i) for i, ((t, _, _), g, c) in enumerate(zip(categories, got, cap)) if g < c]
-    heapq.heapify(queue)
-    for _ in range(left - sum(got)):
-        _, i = heapq.heappop(queue)
-        got[i] += 1
-        if got[i] < cap[i]:
-            t = categories[i][0]
-            heapq.heappush(queue, ((got[i] + 0.5) / t if t > 0 else math.inf, i))
-    return got
-
-
-def _seated(rows: DataFrame, targets: DataFrame, divisor: int) -> DataFrame:
-    """The categories of the targets with ``n_drawn``; only this table, one row per target, reaches the driver."""
-    wanted, size = needs(rows, targets, divisor)
-    listed = sorted(wanted.collect(), key=lambda r: (r["k_mer5"], r["methy_label"]))
-    drawn = seats([(r["target_share"], r["min_rows"], r["n_available"]) for r in listed], size)
-    schema = "k_mer5 string, methy_label int, target_share double, min_rows int, n_available bigint, n_needed bigint, n_drawn bigint, n_sample bigint"
-    return rows.sparkSession.createDataFrame([(*(r[c] for c in ("k_mer5", "methy_label", "target_share", "min_rows", "n_available", "n_needed")), n, size) for r, n in zip(listed, drawn)], schema)
+def _priority() -> Column:
+    return F.try_divide(F.col("rank") - 0.5, F.col("target_share"))
 
 
 def draw(features: DataFrame, targets: DataFrame, divisor: int = 10, seed: int = 5) -> DataFrame:
     """``row_id, k_mer5, methy_label, rank, priority`` of the sample, without repeated rows of one id.
 
-    Rows of categories without a target are not drawn. An empty population gives an empty sample.
+    The rows of the globally smallest keys: rows inside their category's minimum first, then by priority; equal
+    priorities stand by category. Beyond its minimum a category without a share gives no rows. Rows of categories without a
+    target are not drawn. An empty population gives an empty sample.
     """
     rows = population(features)
-    seated = _seated(rows, targets, divisor).select(*CATEGORY, "target_share", "n_drawn").where("n_drawn > 0")
-    ranked = with_rank(rows.join(F.broadcast(seated), CATEGORY), CATEGORY, ["row_id"], seed)
-    priority = F.try_divide(F.col("rank") - 0.5, F.col("target_share"))
-    return ranked.where("rank <= n_drawn").select("row_id", *CATEGORY, "rank", priority.alias("priority"))
+    wanted, size = needs(rows, targets, divisor)
+    return _drawn(ranked(rows, seed), wanted, size)
+
+
+def _drawn(ranks: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    joined = ranks.join(F.broadcast(wanted.select(*CATEGORY, "target_share", "min_rows")), CATEGORY)  # one row per target
+    beyond = F.col("rank") > F.col("min_rows")
+    eligible = joined.where(~beyond | (F.col("target_share") > 0)).select("row_id", *CATEGORY, "rank", _priority().alias("priority"), beyond.alias("_beyond"))
+    keys = [F.col("_beyond"), F.coalesce("priority", F.lit(float("inf"))), *[F.col(c) for c in CATEGORY], F.col("rank")]
+    return first_rows(eligible, keys, size).drop("_beyond")
+
 
+def report(features: DataFrame, targets: DataFrame, divisor: int = 10, seed: int = 5) -> DataFrame:
+    """Each target with what it has, needs and gives, its share of the sample, and whether it can be met without repeating rows.
 
-def report(features: DataFrame, targets: DataFrame, divisor: int = 10) -> DataFrame:
-    """Each target with what it has, needs and gives, its share of the sample, and whether it is met."""
-    out = _seated(population(features), targets, divisor)
-    total = sum(r["n_drawn"] for r in out.select("n_drawn").collect())
-    return out.select(*CATEGORY, "target_share", "min_rows", "n_available", "n_needed", "n_drawn", F.round(F.try_divide(F.col("n_drawn"), F.lit(total)), 6).alias("drawn_share"), (F.col("n_available") >= F.col("n_needed")).alias("is_met"))
+    What a category has is its greatest rank, which must be its number of rows, else the query fails.
+    """
+    rows = population(features)
+    wanted, size = needs(rows, targets, divisor)
+    ranks = cut(ranked(rows, seed))
+    reached = ranks.groupBy(*CATEGORY).agg(F.max("rank").alias("_reached"))
+    drawn = _drawn(ranks, wanted, size).groupBy(*CATEGORY).agg(F.count(F.lit(1)).alias("n_drawn"))
+    joined = wanted.join(reached, CATEGORY, "left").join(drawn, CATEGORY, "left").fillna(0, ["_reached", "n_drawn"])
+    has = F.when(F.col("_reached") == F.col("n_available"), F.col("_reached")).otherwise(F.raise_error(F.lit("ranks differ from the rows of a category")).cast("bigint"))
+    whole = drawn.agg(F.coalesce(F.sum("n_drawn"), F.lit(0)).alias("n_sample"))
+    out = joined.join(F.broadcast(whole)).withColumn("n_available", has)  # one row
+    return out.select(*CATEGORY, "target_share", "min_rows", "n_available", "n_needed", "n_drawn", F.round(F.try_divide("n_drawn", "n_sample"), 6).alias("drawn_share"), (F.col("n_available") >= F.col("n_needed")).alias("is_met"))
+
+
+def unmet(features: DataFrame, targets: DataFrame, divisor: int = 10, seed: int = 5) -> DataFrame:
+    """``k_mer5, methy_label`` of the categories that cannot be met without repeating rows, from the report of the sample."""
+    return report(features, targets, divisor, seed).where(~F.col("is_met")).select(*CATEGORY)
