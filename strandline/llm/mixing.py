@@ -25,8 +25,6 @@ from strandline.operators.ranks import with_running_total
 from strandline.session import cut
 
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 13, 1 << 18
-#: Draws are over fewer blocks than this.
-MOST_BLOCKS = 500_000_000
 
 
 @dataclass(frozen=True)
@@ -80,9 +78,42 @@ def shard_quotas(blocks: tuple[int, ...], shards: int, seed: int, shard: int, ca
 
 
 def _left(counts: tuple[int, ...], draws: int, seed: int, low: int, high: int) -> tuple[int, ...]:
-    """The blocks that the left half of a node gets."""
+    """The blocks that the left half of a node gets: a multivariate hypergeometric draw, source by source."""
     random = np.random.default_rng([seed, low, high])
-    return tuple(int(x) for x in random.multivariate_hypergeometric(counts, draws, method="marginals"))
+    out, rest = [], sum(counts)
+    for n in counts:
+        rest -= n
+        got = hypergeometric(random, n, rest, draws)
+        out.append(got)
+        draws -= got
+    return tuple(out)
+
+
+def hypergeometric(random: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` blocks out of ``good + bad`` are good ones, for populations of any size.
+
+    Rejection from a flat middle with exponential tails around the mode, which covers every distribution whose logarithm
+    is concave (Devroye 1986); probabilities stand relative to the mode's.
+    """
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    logp = lambda x: choose(good, x) + choose(bad, draws - x)
+    mode = min(high, max(low, (draws + 1) * (good + 1) // (good + bad + 2)))
+    top = logp(mode)
+    peak = math.exp(min(0.0, top - choose(good + bad, draws)))
+    width = 1 + peak / 2
+    while True:
+        u, v = random.random(), random.random()
+        if u <= width / (1 + width):
+            away, bound = random.random() * width / peak, 1.0
+        else:
+            tail = random.exponential()
+            away, bound = (width + tail) / peak, math.exp(-tail)
+        x = mode + (1 if random.random() < 0.5 else -1) * round(away)
+        if low <= x <= high and v * bound <= math.exp(min(0.0, logp(x) - top)):
+            return x
 
 
 def _step(n: int, seed: int) -> int:
@@ -129,8 +160,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, vo
     placed, plan = _planned(sized, targets, total)
     active = [q for q in plan if q.quota > 0]
     whole = sum(q.quota for q in active)
-    block = max(block_tokens, math.ceil(whole / MOST_BLOCKS))
-    blocks = tuple(int(q.quota // block) + 1 for q in active)
+    blocks = tuple(int(q.quota // block_tokens) + 1 for q in active)
     shards = max(1, min(sum(blocks), math.ceil(whole / shard_tokens)))
     names = [q.source for q in active]
 
@@ -146,19 +176,32 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, vo
     dealt = runs.select("shard", "source", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     steps = spark.createDataFrame([(s, n, _step(n, seed)) for s, n in zip(names, blocks)], "source string, n_blocks bigint, step bigint")  # one row per target source
     copies = placed.select("doc_id", "source", "n_tokens", "running_before", "size", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("repeat_no"))
-    number = F.floor((F.col("repeat_no") * F.col("size") + F.col("running_before")) / F.lit(block))
+    number = F.floor((F.col("repeat_no") * F.col("size") + F.col("running_before")) / F.lit(block_tokens))
     slotted = copies.withColumn("block", F.floor(number)).join(F.broadcast(steps), "source").withColumn("slot", F.pmod(F.least("block", F.col("n_blocks") - 1) * F.col("step") + F.lit(seed), F.col("n_blocks")))
     joined = slotted.join(dealt, ["source", "slot"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "repeat_no", F.lit(seed)), "doc_id", "repeat_no")
     return joined.select("doc_id", "source", "repeat_no", "shard", F.row_number().over(local).alias("place"), "n_tokens")
 
 
-def shares(documents: DataFrame, targets: DataFrame, total: float | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per source of the targets: what it has, gives, and its actual share of the mix."""
+def shares(documents: DataFrame, targets: DataFrame, total: float | None = None, vocabulary: str = VOCABULARY, everything: bool = False) -> DataFrame:
+    """One row per source of the targets: what it has, gives, its actual share of the mix, and whether its target is met.
+
+    ``missing_share`` is how far the actual share stays below the target; a target is met if no more is missing than the
+    greatest document of the mix. Targets are shares of all targets, so a source without documents, and one that may not be repeated
+    often enough for a given ``total``, come out unmet. ``everything`` asks for as many tokens as all sources of the targets hold in one pass.
+    """
     sized = cut(_sized(documents, targets, vocabulary))
+    if everything:
+        total = float(sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
     placed, plan = _planned(sized, targets, total)
-    drawn = placed.groupBy("source").agg(F.sum("copies").alias("n_copies"), F.count(F.lit(1)).alias("n_documents"), F.max("copies").alias("most_repeats"), F.sum(F.col("copies") * F.col("n_tokens")).alias("n_drawn"))
+    drawn = placed.groupBy("source").agg(F.sum("copies").alias("n_copies"), F.count(F.lit(1)).alias("n_documents"), F.max("copies").alias("most_repeats"), F.sum(F.col("copies") * F.col("n_tokens")).alias("n_drawn"), F.max("n_tokens").alias("_greatest"))
     table = sized.sparkSession.createDataFrame([(q.source, q.weight, q.max_repeats, q.size) for q in plan], "source string, target_weight double, max_repeats int, n_available bigint")
-    out = table.join(drawn, "source", "left").fillna(0, ["n_copies", "n_documents", "most_repeats", "n_drawn"])
-    share = F.try_divide(F.col("n_drawn"), F.sum("n_drawn").over(Window.partitionBy()))  # one row per target source
-    return out.withColumn("actual_share", F.round(share, 6))
+    out = table.join(drawn, "source", "left").fillna(0, ["n_copies", "n_documents", "most_repeats", "n_drawn", "_greatest"])
+    everyone = Window.partitionBy()  # one row per target source
+    whole = F.greatest(F.sum("n_drawn").over(everyone), F.lit(int(total or 0)))
+    share = F.coalesce(F.try_divide(F.col("n_drawn"), whole), F.lit(0.0))
+    target = F.coalesce(F.try_divide("target_weight", F.sum("target_weight").over(everyone)), F.lit(0.0))
+    missing = F.greatest(target - share, F.lit(0.0))
+    met = missing * whole <= F.max("_greatest").over(everyone)
+    shown = out.select("*", F.round(F.coalesce(F.try_divide(F.col("n_drawn"), F.sum("n_drawn").over(everyone)), F.lit(0.0)), 6).alias("actual_share"), F.round(missing, 6).alias("missing_share"), (met & ((F.col("n_drawn") > 0) | (F.col("target_weight") <= 0))).alias("is_met"))
+    return shown.drop("_greatest")

@@ -73,6 +73,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p8_shares_everything(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of a mix of as many tokens as the sources hold in one pass: scarce sources reach their repeats and come out unmet."""
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), everything=True)
+
+
+def p8_mix_report(spark: SparkSession, d: str) -> DataFrame:
+    """What the mix keeps to: a place for every copy, no copy twice, repeats within their bounds, shards of one size but for whole documents."""
+    targets = table(spark, d, "mix_targets").where("source is not null").groupBy("source").agg(F.max("max_repeats").alias("max_repeats"))
+    mixed = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    shards = mixed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last"), F.countDistinct("place").alias("places"))
+    copies = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("repeat_no").alias("repeats")).join(F.broadcast(targets), "source", "left")
+    placed = shards.agg(F.sum("n").alias("n_copies"), F.count_if((F.col("n") != F.col("last")) | (F.col("n") != F.col("places"))).alias("n_bad_shards"))
+    counted = copies.agg(F.count_if(F.col("n") != F.col("repeats")).alias("n_twice"), F.count_if(~(F.col("n") <= F.col("max_repeats"))).alias("n_over_repeats"), F.sum("n").alias("n_in_sources"))
+    return placed.join(F.broadcast(counted)).select((F.col("n_copies") == F.col("n_in_sources")).alias("is_whole"), "n_bad_shards", "n_twice", "n_over_repeats")  # one row each
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return privacy.find(table(spark, d, "documents"), table(spark, d, "name_parts")).select("doc_id", "pii_kind", "pii_text").distinct()
 
@@ -81,7 +97,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return privacy.redact(table(spark, d, "documents"), table(spark, d, "name_parts"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_split, p2_forest, p2_split_report, p2_forest_report, p5_found, p5_sample, p5_report, p7_ids, p7_round_trip, p8_mix, p8_shares, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p2_found, p2_split, p2_forest, p2_split_report, p2_forest_report, p5_found, p5_sample, p5_report, p7_ids, p7_round_trip, p8_mix, p8_shares, p8_shares_everything, p8_mix_report, p9_found, p9_redacted)}
 
 _GROUPS = r"""names as (select lower(trim(contig)) as spelling, contig, 0 as k from contigs union all select lower(trim(alias_name)), contig, 1 from contig_names),
 known as (select spelling, arg_min(contig, (k, contig)) as contig from names group by 1),
@@ -110,6 +126,7 @@ where coalesce(n, 0) < greatest(t.min_rows, ceil(t.target_share::decimal(18, 9)
 select w.k_mer5, w.methy_label, t as target_share, least as min_rows, coalesce(n_available, 0) as n_available, greatest(least, ceil(t::decimal(18, 9) * (select size from n)::decimal(18, 0)))::bigint as n_needed,
   coalesce(n_drawn, 0) as n_drawn, round(coalesce(n_drawn, 0) / (select count(*) from d)::double, 6) as drawn_share, coalesce(n_available, 0) >= greatest(least, ceil(t::decimal(18, 9) * (select size from n)::decimal(18, 0))) as is_met
 from w left join c using (k_mer5, methy_label) left join g using (k_mer5, methy_label)""",
+    "p8_mix_report": "select true as is_whole, 0::bigint as n_bad_shards, 0::bigint as n_twice, 0::bigint as n_over_repeats from (select count(*) as n from documents)",
     "p2_found": f"""with recursive {_GROUPS}
 select row_id, group_key from k join g on g.node = coalesce('c' || c, 'r' || r)""",
     "p2_split_report": f"""with recursive {_GROUPS}

@@ -5,10 +5,11 @@ in the encoding of some word. It is compiled by adding one gadget per merge, in
 adds state and arc c, and takes away arc b behind every state in which a stands open at its right end until c is
 made. For each token the gadgets leave two short tables, the parts open at its right and at its left end with the
 rank that closes them; an arc (q, u) is barred if a merge of a part of q and a part of u comes before both are closed.
-Resolved arcs are kept in the transition table, so it grows with the pairs that occur (a full one
-would have 2.5e9 entries).
+These tables are the compiled automaton in factored form, complete before the first text is read; written out, its
+transition table would have 2.5e9 entries. Arcs that occur are kept written out, up to :data:`KEPT_ARCS` of them.
 
-The encoding of a word is the only path of open arcs that spells it, so a word is read from left to right, keeping
+Texts are split into words by Spark. In the tasks the words of a batch are told apart by Arrow, each is encoded once,
+and the ids of the texts are put together from those of their words by NumPy. The encoding of a word is the only path of open arcs that spells it, so a word is read from left to right, keeping
 for each prefix the state it ends in; the path's labels are the ids. Decoding emits the bytes of the labels.
 """
 
@@ -17,9 +18,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from strandline.session import spread
 
@@ -31,6 +35,10 @@ NO_IDS: list[int] = []
 OPEN = 1 << 60
 #: Encoded words kept per worker; beyond that they are encoded anew.
 KEPT_WORDS = 400_000
+#: Arcs kept written out per worker (some 100 MB); beyond that they are resolved anew.
+KEPT_ARCS = 1 << 20
+#: Texts whose words are handled together.
+TEXTS = 1000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -114,6 +122,8 @@ class Automaton:
         key = q << 32 | u
         known = self.table.get(key)
         if known is None:
+            if len(self.table) >= KEPT_ARCS:
+                self.table.clear()
             known = self.table[key] = not self._crossed(q, u, OPEN)
         return known
 
@@ -142,21 +152,34 @@ class Automaton:
             at -= len(self.spelling[states[at]])
         return tuple(reversed(ids))
 
+    def known_word(self, word: str) -> tuple[int, ...]:
+        """The ids of a word, from the kept ones if it is there."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.encode_word(word)
+            if len(word) < 64:
+                if len(self.words) >= KEPT_WORDS:
+                    self.words.clear()
+                self.words[word] = ids
+        return ids
+
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text, without special tokens; :data:`NO_IDS` if it is null or empty."""
-        if not text:
-            return list(NO_IDS)
-        words, out = self.words, []
-        for word in self.split(text):
-            ids = words.get(word)
-            if ids is None:
-                ids = self.encode_word(word)
-                if len(word) < 64:
-                    if len(words) >= KEPT_WORDS:
-                        words.clear()
-                    words[word] = ids
-            out.extend(ids)
-        return out
+        return [i for word in self.split(text) for i in self.known_word(word)] if text else list(NO_IDS)
+
+    def encode_words(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts given as their words: the ends of the texts, from 0 on, and the ids of all in turn."""
+        distinct = words.flatten().dictionary_encode()
+        coded = [self.known_word(w) for w in distinct.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter((i for c in coded for i in c), np.int32, int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        index = distinct.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[index] if len(index) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(starts[index] - before[:-1], counts) + np.arange(before[-1])] if len(index) else flat[:0]
+        lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return before[np.concatenate([[0], np.cumsum(lengths)])], ids
 
     def decode(self, ids: list[int] | None) -> str:
         return b"".join(self.spelling[i] for i in ids or ()).decode("utf-8", "replace")
@@ -180,6 +203,20 @@ def _vocabulary(frame: DataFrame, path: str):
         return frame.sparkSession.sparkContext.broadcast(file.read())
 
 
+def _words(text: Column) -> tuple[Column, Column]:
+    """The words of a text, split by Spark; and the text itself where it holds characters that Java's tables lack, whose words are then null."""
+    strange = text.rlike(r"\p{Cn}")
+    return F.when(~strange, F.regexp_extract_all(text, F.lit(f"(?U){WORDS}"), F.lit(0))), F.when(strange, text)
+
+
+def _coded(automaton: Automaton, words: pa.ListArray, strange: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and ids of the texts of a batch; strange texts are split here."""
+    if strange.null_count < len(strange):
+        split = [automaton.split(t) if t is not None else w for w, t in zip(words.to_pylist(), strange.to_pylist())]
+        words = pa.array(split, pa.list_(pa.string()))
+    return automaton.encode_words(words)
+
+
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids`` of every text. Null and empty texts have no ids (an empty list); texts may have any length."""
     shared = _vocabulary(documents, vocabulary)
@@ -187,13 +224,15 @@ def encode(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = compiled(shared.value)
         for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                ids = [automaton.encode(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                ends, ids = _coded(automaton, batch.column("_words"), batch.column("_strange"))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], names=[key, "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return spread(documents.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    words, strange = _words(F.col("_text"))
+    split = spread(documents.select(key, F.col(text).alias("_text"))).select(key, words.alias("_words"), strange.alias("_strange"))
+    return split.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", into: str = "n_tokens") -> DataFrame:
@@ -203,12 +242,15 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY, text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = compiled(shared.value)
-        for batch in batches:
-            numbers = [len(automaton.encode(t)) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(numbers, pa.int64())], names=[*kept, into])
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                ends, _ = _coded(automaton, batch.column("_words"), batch.column("_strange"))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(np.diff(ends), pa.int64())], names=[*kept, into])
 
     schema = ", ".join([*[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept], f"`{into}` bigint"])
-    return spread(documents.select(*kept, text)).mapInArrow(run, schema)
+    words, strange = _words(F.col(text))
+    return spread(documents.select(*kept, text)).select(*kept, words.alias("_words"), strange.alias("_strange")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id") -> DataFrame:

@@ -1,7 +1,9 @@
+import math
 import random
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,11 @@ def test_encode_table(spark):
     frame = spark.createDataFrame([(1, "Hello"), (2, None), (3, ""), (3, "")], "doc_id bigint, text string").selectExpr("doc_id", "text", "'x' as ids")
     got = sorted((r["doc_id"], list(r["ids"])) for r in tokens.encode(frame).collect())
     assert got == [(1, [15496]), (2, []), (3, []), (3, [])]
+    mixed = [*TEXTS, "new \U0001fae8\U0001faea letters \u088f\u1c8a x", None]
+    automaton = tokens.Automaton(Path(tokens.VOCABULARY).read_text())
+    table = spark.createDataFrame(list(enumerate(mixed)), "doc_id int, text string")
+    assert {r["doc_id"]: list(r["ids"]) for r in tokens.encode(table).collect()} == {i: automaton.encode(t) for i, t in enumerate(mixed)}
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(table).collect()} == {i: len(automaton.encode(t)) for i, t in enumerate(mixed)}
     assert tokens.encode(frame.limit(0)).count() == 0
 
 
@@ -178,6 +185,30 @@ def test_splitting_tree_is_exact():
         assert max(sizes) - min(sizes) <= 1
 
 
+def test_hypergeometric_draws():
+    random_numbers = np.random.default_rng(3)
+    for good, bad, draws in ((7, 5, 6), (40, 3, 20), (1, 200, 50)):
+        got = Counter(mixing.hypergeometric(random_numbers, good, bad, draws) for _ in range(20_000))
+        whole = math.comb(good + bad, draws)
+        for x in range(max(0, draws - bad), min(good, draws) + 1):
+            p = math.comb(good, x) * math.comb(bad, draws - x) / whole
+            assert abs(got[x] / 20_000 - p) < 5 * math.sqrt(p / 20_000) + 1e-3, (good, bad, draws, x)
+    great = [mixing.hypergeometric(random_numbers, 10**13, 3 * 10**13, 2 * 10**13) for _ in range(200)]
+    deviation = math.sqrt(2e13 * 0.25 * 0.75 * 0.5)
+    assert abs(np.mean(great) - 5e12) < 4 * deviation / math.sqrt(200) and 0.8 < np.std(great) / deviation < 1.25
+    assert mixing.hypergeometric(random_numbers, 0, 9, 4) == 0 and mixing.hypergeometric(random_numbers, 9, 0, 4) == 4
+
+
+def test_shares_tell_unmet_targets(spark):
+    rows = [(i, "big", "alpha beta gamma " * 5) for i in range(200)] + [(1000 + i, "small", "alpha beta gamma " * 5) for i in range(10)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.4, 2), ("none", 0.1, 2)], "source string, target_weight double, max_repeats int")
+    met = {r["source"]: (r["is_met"], r["n_copies"]) for r in mixing.shares(documents, targets, everything=True).collect()}
+    assert met == {"big": (True, 117), "small": (False, 20), "none": (False, 0)}
+    assert {r["source"]: r["is_met"] for r in mixing.shares(documents, targets).collect()} == {"big": True, "small": True, "none": False}
+    assert not any(r["is_met"] for r in mixing.shares(documents.limit(0), targets).collect())
+
+
 def test_quotas():
     plan = {q.source: q for q in mixing.quotas({"a": 1000, "b": 10}, [("a", 0.5, 1), ("b", 0.3, 4), ("none", 0.2, 9)])}
     assert plan["b"].quota == pytest.approx(40) and plan["a"].quota == pytest.approx(40 * 0.5 / 0.3) and plan["none"].quota == 0 and plan["b"].passes == 4
