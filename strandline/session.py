@@ -73,3 +73,11 @@ def is_small(frame: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST
 def maybe_broadcast(frame: DataFrame) -> DataFrame:
     """The frame with a broadcast hint if it is small; else as it is, for a join by shuffle."""
     return F.broadcast(frame) if is_small(frame) else frame
+
+
+def bounded_rows(frame: DataFrame, what: str, rows: int = BROADCAST_ROWS) -> list:
+    """The rows of a table that is a parameter, on the driver; an error if it is too large to be one."""
+    kept = frame.limit(rows + 1)
+    if not is_small(kept, rows):
+        raise ValueError(f"{what} is a parameter of at most {rows} rows and {BROADCAST_BYTES} bytes")
+    return kept.collect()
