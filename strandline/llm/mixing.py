@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.tokens import VOCABULARY, count_tokens
 from strandline.operators.ranks import with_running_total
-from strandline.session import cut
+from strandline.session import bounded_rows, cut
 
 BLOCK_TOKENS, SHARD_TOKENS = 1 << 13, 1 << 18
 
@@ -133,7 +133,7 @@ def _sized(documents: DataFrame, targets: DataFrame, vocabulary: str) -> DataFra
 def _listed(targets: DataFrame) -> list[tuple[str, float, int]]:
     """The targets, one row per source; this table is a parameter of the mix."""
     rows = targets.where("source is not null").groupBy("source").agg(F.sum("target_weight").alias("w"), F.max("max_repeats").alias("m"))
-    return sorted((r["source"], r["w"] or 0.0, r["m"] if r["m"] is not None else 1) for r in rows.collect())
+    return sorted((r["source"], r["w"] or 0.0, r["m"] if r["m"] is not None else 1) for r in bounded_rows(rows, "the table of targets"))
 
 
 def _planned(sized: DataFrame, targets: DataFrame, total: float | None) -> tuple[DataFrame, list[Quota]]:

@@ -2,14 +2,17 @@
 
 Each kind has patterns that propose spans with a base score. Checksums (Luhn, the two mod-97 rules) raise the score of
 a number that passes; words nearby raise or lower it: a label before an identity number, a unit behind a figure,
-a title before a name. Spans that reach the threshold are kept, the earlier and longer one where two overlap.
+a title before a name, a word for places behind it. Spans that reach the threshold are kept, the earlier and longer one where two overlap.
 Replacement puts ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` or ``[NAME]`` in their place and leaves the rest as it is.
 
-Names need a part from the table of name parts, or a place where only a person's name can stand.
+Names need a part from the table of name parts beside another capitalised word, initials before a family name, or a title or label
+before them. Texts are searched line by line: context is what stands in the same line, and what a worker found in a line
+it keeps for the next revision that holds the same line. Cheap signs (a digit, ``@``, a listed part, a title) decide which patterns a line needs.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,9 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strandline.session import spread
+from strandline.session import bounded_rows, spread
 
 THRESHOLD = 3
+#: Characters of lines whose spans a worker keeps; beyond that they are searched anew.
+KEPT_CHARACTERS = 1 << 26
+#: Lines up to this length are kept.
+KEPT_LINE = 4000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 
@@ -174,7 +181,19 @@ _GERMAN_PLACE = regex.compile(r"(?:(?:Am|Im|Zum|Zur)\s)")
 _DATE = regex.compile(r"\s(?:January|February|March|April|May|June|July|August|September|October|November|December|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember|km|Uhr|Einwohner|Taler|[.,]\d|v\.)|\.\s(?:Sonntag|Jahrhundert|März|Mai)", regex.I)
 
 
-def _addresses(text: str) -> Iterator[tuple[int, int, int]]:
+#: One of these words, or a word with one of these endings, stands in every address.
+_STREET_WORDS = frozenset(
+    "street st road rd avenue ave lane ln court ct close terrace way drive dr place square sq crescent boulevard blvd row walk gardens hill grove parkway mews "
+    "rue impasse chemin quai allée allee cours route passage sentier faubourg calle c avenida avda av plaza pza paseo p camino carretera ronda travesía travesia callejón callejon cuesta am an auf im in zum zur unter beim hinter".split()
+)
+_STREET_ENDS = ("straße", "strasse", "str", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer", "steig", "stieg", "pfad", "chaussee", "markt", "hof", "graben")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _addresses(text: str, words: frozenset[str] | set[str] | None = None) -> Iterator[tuple[int, int, int]]:
+    words = set(_WORD.findall(text.lower())) if words is None else words
+    if _STREET_WORDS.isdisjoint(words) and not any(w.endswith(_STREET_ENDS) for w in words):
+        return
     for m in _ADDRESS.finditer(text):
         before, kind = text[max(0, m.start() - 14) : m.start()], m.lastgroup
         score = 3
@@ -201,24 +220,35 @@ _WORD_BACK = regex.compile(rf"{_HEAD}({_W})\s(?:{_I}\s)?(?:{_P}\s)?$".replace(r"
 _COMMA_BACK = regex.compile(rf"{_HEAD}(?:{_P}\s)?({_W}),\s$".replace(r"\s", "[ \u00a0]"))
 _COMMA_NEXT = regex.compile(rf",\s({_W})(?:\s{_I})?{_TAIL}(?!\s{_W})".replace(r"\s", "[ \u00a0]"))
 _TITLE = r"(?:Herrn?|Frau|Fr\.|Mme|Mlle|Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?|Prof\.?|Sir|Señora?|Sra?\.|Don|Doña|Monsieur|Madame|M\.)"
-_TITLES = frozenset("herr herrn frau mme mlle mr mrs ms miss dr prof sir señor señora don doña monsieur madame signed contact".split())
-#: Words that make a place, a building or a company of what stands before or behind them.
+_TITLES = frozenset("herr herrn frau mme mlle mr mrs ms miss dr prof sir señor señora don doña monsieur madame".split())
+#: Words for places, buildings and companies, which make one of the name before or behind them.
 _PLACE = frozenset(
     "hall heights island bridge cross falls point bay springs creek chapel guild road street lane park press trust district station university college school hotel museum library castle tower river lake mountain valley hill hills church abbey "
     "cathedral beach harbour harbor square avenue court gardens forest woods county city town village company ltd inc gmbh bank group foundation society institute airport theatre theater stadium arena building house centre center "
-    "port saint st san santa storm hurricane mount fort cape class terrace close way islands canyon gate farm mill and the of".split()
-)
-_CUE_BEFORE = regex.compile(
-    rf"(?:(?<!\p{{L}}){_TITLE}\s|contact:\s|name\s?=\s?|caretaker\s?=\s?|owner\s?=\s?|author\s?=\s?|signed,?\s|thanks\sto\s|kept\sby\s|taken\sby\s|supplied\sby\s|written\sby\s|teacher\s|neighbour\s|friend\s|la\sguarda\s|knows\s|doxxed:\s|leaked:\s|according\sto\s(?:{_TITLE}\s)?)$", regex.I
-)
-_CUE_FULL = regex.compile(
-    rf"(?:(?<!\p{{L}}){_TITLE}\s|(?i:contact):\s|(?i:\{{\{{contact\|name)\s?=\s?|(?i:caretaker)\s?=\s?|(?i:signed),\s|(?i:thanks\sto)\s|(?i:kept\sby)\s|(?i:taken\sby)\s|(?i:supplied\sby)\s|(?i:my\steacher)\s|(?i:la\sguarda)\s|(?i:everyone\sknows)\s|(?i:doxxed):\s)(?:{_TITLE}\s)?({_FULL}){_TAIL}"
+    "port saint st saint-st san santa storm hurricane mount fort cape class terrace close way islands canyon gate farm mill".split()
 )
-_ROW_FULL = regex.compile(
-    rf"(?:^|\n|\r)(?:\|\s)?((?:{_FULL})){_TAIL}(?=\s<[^>\n]{{3,80}}>|\s\|\|\s(?:tenant|owner|caretaker)|\s\|\|\s\S{{1,40}}\s?(?:@|\(at\)|\[at\]|AT)|\swas\shere|\sgarde\sla|\swohnt\s|\r?\n(?:\d|(?:Flat|Unit|Apt|Suite|Calle|Avenida|Plaza|Camino|C/|Am|Im|Zum)\s|\p{{Lu}}[\p{{L}}]+(?:stra|str\.|weg|gasse|platz|allee)))|\n?In\s\d{{4}}\s({_FULL})(?=\sfound\s)"
+_BEFORE_PLACE = frozenset("port saint st storm hurricane mount fort cape san santa lake river".split())
+#: Words that begin sentences and labels; capitalised, they are no part of a name.
+_NO_NAME = frozenset(
+    "a an and at by for from in of on or the this that to with my your his her our their it is was signed contact name author editor owner thanks according see call ask dear "
+    "der die das ein eine und im in am von vom zum zur mit für le la les un une et du des de en par pour el los las un una y del con por para flat unit suite apt".split()
 )
-_CUE_BEHIND = regex.compile(r"(?:\s<[^>\n]{3,80}>|\swas\shere|\swohnt\s|\sgarde\s|\sfound\sa|\scheats|\sis\sthe\s|\s\(personal|,\sa\sneighbour|\sfor\sthe\sscans|\sduring\sa|\s-->|\s\|\||\s/\s|\|street|\r?\n\d|,\s\d)", regex.I)
-_LINE_ENDS = "\n\r"
+#: Titles, and labels of fields and lines that hold a person's name.
+_CUE = rf"(?:(?<!\p{{L}}){_TITLE}[ \u00a0]|(?<!\p{{L}})(?i:name|contact|author|editor|owner|signed)[ ]?[:=,][ ]?)"
+_CUE_BEFORE = regex.compile(rf"{_CUE}$")
+_CUE_FULL = regex.compile(rf"{_CUE}(?:{_TITLE}[ \u00a0])?({_FULL}){_TAIL}")
+#: Initials and a family name, or a given name, initials and a family name, whether or not a part is listed.
+_WITH_INITIALS = regex.compile(rf"{_HEAD}(?:{_W}\s)?(?:{_I}\s?){{1,3}}(?:{_P}\s)?(\p{{Lu}}[\p{{L}}'’\-]{{2,}}){_TAIL}".replace(r"\s", "[ \u00a0]"))
+_INITIAL_SIGN = re.compile(r"(?<!\w)[^\W\d_]\.")
+_CUE_WORDS = _TITLES | frozenset("fr sr sra m señor señora name contact author editor owner signed".split())
+#: A full name right before another finding of the line, in a field of its own.
+_NAME_BESIDE = regex.compile(rf"(?:^|[|:;>(/][ ]?|\s{2})({_FULL})[ ]?(?:<|\|\||[/,;:(–-])[ ]?$")
+_DIGIT = re.compile(r"\d")
+
+
+def _is_plain(name: str) -> bool:
+    """Whether no word of a proposed name is a title or a word for places or one that begins sentences."""
+    return (_PLACE | _TITLES | _NO_NAME).isdisjoint(w.strip(".") for w in regex.split(r"[ ,\u00a0]+", name.lower()))
 
 
 class Names:
@@ -228,30 +258,43 @@ class Names:
         self.given, self.family = {g.lower() for g in given}, {f.lower() for f in family}
         both = sorted({p for x in [*given, *family] for p in (x, x.upper())}, key=len, reverse=True)
         self.parts = regex.compile(rf"{_HEAD}\L<parts>{_TAIL}", parts=both) if both else None
+        self.pieces = {w for p in both for w in _WORD.findall(p.lower())}
 
-    def spans(self, text: str) -> Iterator[tuple[int, int, int]]:
+    def spans(self, text: str, words: set[str], beside: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, int]]:
+        """Spans with their scores; ``words`` are the line's words in lower case, ``beside`` what was found in it before."""
         end = 0
-        for m in self.parts.finditer(text) if self.parts else ():
-            if m.start() < end:
-                continue
-            found = self._from_given(text, m) if m.group().lower() in self.given else self._from_family(text, m)
-            if found and found[1] > end:
-                end = found[1]
-                yield found
-        for pattern in (_CUE_FULL, _ROW_FULL):
-            for m in pattern.finditer(text):
-                group = 1 if m.group(1) else 2
-                words = [w for w in regex.split(r"[ ,\u00a0]+", m.group(group).lower()) if w]
-                if not (_PLACE | _TITLES) & {w.strip(".") for w in words}:
-                    yield m.start(group), m.end(group), 3
+        if self.parts and not self.pieces.isdisjoint(words):
+            for m in self.parts.finditer(text):
+                if m.start() < end:
+                    continue
+                found = self._from_given(text, m) if m.group().lower() in self.given else self._from_family(text, m)
+                if found and found[1] > end:
+                    end = found[1]
+                    yield found
+        if _INITIAL_SIGN.search(text):
+            for m in _WITH_INITIALS.finditer(text):
+                start = m.start()
+                first = regex.match(r"[\p{L}'’\-]+(?=[ \u00a0])", m.group())
+                if first and first.group().lower() in _TITLES | _NO_NAME | _PLACE:
+                    start += first.end() + 1
+                yield start, m.end(), self._score(text, start, m.end(), 0) + (3 if m.group(1).lower() not in _PLACE | _NO_NAME else 0)
+        if not _CUE_WORDS.isdisjoint(words):
+            for m in _CUE_FULL.finditer(text):
+                if _is_plain(m.group(1)):
+                    yield m.start(1), m.end(1), 3
+        for start, _, kind in beside:
+            m = _NAME_BESIDE.search(text, max(0, start - 70), start) if kind != "address" else None
+            if m and _is_plain(m.group(1)):
+                yield m.start(1), m.end(1), 3
 
     def _score(self, text: str, start: int, end: int, known: int) -> int:
-        score = 2 * known + (2 if _CUE_BEFORE.search(text, max(0, start - 40), start) else 0) + (2 if _CUE_BEHIND.match(text, end) else 0)
+        """Points for listed parts and a title or label before; a word for places on either side takes them away."""
+        score = 2 * known + (2 if _CUE_BEFORE.search(text, max(0, start - 40), start) else 0)
         before = regex.search(r"(\p{L}+)\s+'*$", text[max(0, start - 16) : start])
-        if before and before.group(1).lower() in ("port", "saint", "st", "storm", "hurricane", "mount", "fort", "cape", "san", "santa"):
+        if before and before.group(1).lower() in _BEFORE_PLACE:
             score -= 6
         behind = regex.match(r"\s(\p{L}+)", text[end : end + 20])
-        if behind and behind.group(1).lower() in _PLACE - {"and", "the", "of", "way", "close", "class"} and behind.group(1)[0].isupper():
+        if behind and behind.group(1).lower() in _PLACE - {"way", "close", "class"} and behind.group(1)[0].isupper():
             score -= 6
         return score
 
@@ -261,7 +304,9 @@ class Names:
             known = back.group(1).lower() in self.family
             middle = regex.match(rf"[ \u00a0]{_I}(?!\p{{L}})", text[m.end() : m.end() + 4])
             end = m.end() + (middle.end() if middle else 0)
-            return back.start(), end, self._score(text, back.start(), end, 1 + known)
+            # an unlisted family name stands alone with its given name, not in a sentence or a row of given names
+            alone = back.group(1).lower() not in self.given | _PLACE | _NO_NAME and not regex.match(r"[ \u00a0]\p{L}", text[end : end + 2])
+            return back.start(), end, self._score(text, back.start(), end, 1 + known) + (1 if alone else 0)
         short, long = _FORWARD.match(text, m.start()), _FORWARD_LONG.match(text, m.start())
         best = None
         if long and (long.group(1).lower() in self.family or (short and short.group(2).lower() in self.given) or not short):
@@ -273,9 +318,9 @@ class Names:
         last = best[1].lower()
         start = m.start()
         lead = _WORD_BACK.search(text, max(0, start - 40), start)
-        if lead and last in self.family and lead.group(1).lower() not in _TITLES | _PLACE and not _CUE_BEFORE.search(text, max(0, lead.start() - 40), start) and (lead.start() == 0 or text[lead.start() - 1] in _LINE_ENDS + "=|"):
+        if lead and last in self.family and lead.group(1).lower() not in _TITLES | _PLACE and lead.group(1).lower() not in _NO_NAME and (lead.start() == 0 or text[lead.start() - 1] in "=|"):
             start = lead.start()
-        shaped = 1 if best[1][1:] == best[1][1:].lower() or "-" in best[1] or "'" in best[1] else 0
+        shaped = 1 if best[1][1:] == best[1][1:].lower() or "-" in best[1] or "'" in best[1] or m.group().isupper() else 0
         return start, best[0], self._score(text, start, best[0], 1 + (last in self.family)) + shaped
 
     def _from_family(self, text: str, m: regex.Match) -> tuple[int, int, int] | None:
@@ -283,17 +328,18 @@ class Names:
         back = _INITIALS_BACK.search(text, low, m.start())
         if back:
             words = _WORD_BACK.search(text, low, m.start())
-            start = words.start() if words and words.group(1).lower() not in _TITLES | _PLACE else back.start()
+            start = words.start() if words and words.group(1).lower() not in _TITLES | _PLACE | _NO_NAME else back.start()
             return start, m.end(), 3
         following = _COMMA_NEXT.match(text, m.end())
         if following and following.group(1).lower() in self.given:
             return m.start(), following.end(), self._score(text, m.start(), following.end(), 2)
         for pattern in (_WORDS_BACK, _WORD_BACK):
             back = pattern.search(text, low, m.start())
-            if back and back.group(1).lower() not in _TITLES | _PLACE and not regex.match(r"(?i:in|thanks|the|my|a|according|signed|call)$", back.group(1)):
+            if back and back.group(1).lower() not in _TITLES | _PLACE | _NO_NAME:
                 return back.start(), m.end(), self._score(text, back.start(), m.end(), 1) + 1
-        if following and following.group(1).lower() not in _PLACE and following.group(1) not in ("Flat", "Unit", "Suite", "Apt"):
-            return m.start(), following.end(), self._score(text, m.start(), following.end(), 1)
+        if following and following.group(1).lower() not in _PLACE | _NO_NAME:
+            alone = not regex.match(r"[ \u00a0]\p{L}", text[following.end() : following.end() + 2])
+            return m.start(), following.end(), self._score(text, m.start(), following.end(), 1) + (1 if alone else 0)
         return None
 
 
@@ -302,23 +348,54 @@ class Finder:
 
     def __init__(self, given: list[str], family: list[str]) -> None:
         self.names = Names(given, family)
+        self.kept: dict[str, tuple[tuple[int, int, str], ...]] = {}
+        self.kept_characters = 0
 
     def find(self, text: str | None) -> list[Span]:
         """The spans of a text in order, without overlaps; none for null and empty texts."""
         if not text:
             return []
+        out, at, kept = [], 0, self.kept
+        for line in text.split("\n"):
+            found = kept.get(line)
+            if found is None:
+                found = self._find_in_line(line)
+                if len(line) <= KEPT_LINE:
+                    if self.kept_characters >= KEPT_CHARACTERS:
+                        kept.clear()
+                        self.kept_characters = 0
+                    kept[line] = found
+                    self.kept_characters += len(line)
+            if found:
+                out += [Span(at + s, at + e, kind) for s, e, kind in found]
+            at += len(line) + 1
+        return out
+
+    def _find_in_line(self, text: str) -> tuple[tuple[int, int, str], ...]:
+        digits, words = _DIGIT.search(text) is not None, set(_WORD.findall(text.lower()))
         found: list[tuple[int, int, str]] = []
-        for kind, source in (("email", _emails), ("id_number", _ids), ("phone", _phones), ("address", _addresses), ("name", self.names.spans)):
+        for kind in ("email", "id_number", "phone", "address", "name"):
+            if kind == "email":
+                source = _emails(text)
+            elif kind == "name":
+                source = self.names.spans(text, words, found)
+            elif digits:
+                source = _ids(text) if kind == "id_number" else _phones(text) if kind == "phone" else _addresses(text, words)
+            else:
+                continue
+            proposed = sorted((x for x in source if x[2] >= THRESHOLD), key=lambda x: (x[0], -x[1]))
+            if not proposed:
+                continue
             kept: list[tuple[int, int]] = []
             taken = sorted((s, e) for s, e, _ in found)
             starts = [s for s, _ in taken]
-            for start, end, score in sorted(source(text), key=lambda x: (x[0], -x[1])):
-                at = bisect_right(starts, start)
-                free = (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end)
-                if score >= THRESHOLD and free and (not kept or kept[-1][1] <= start):
+            for start, end, _ in proposed:
+                before = bisect_right(starts, start)
+                free = (before == 0 or taken[before - 1][1] <= start) and (before == len(taken) or taken[before][0] >= end)
+                if free and (not kept or kept[-1][1] <= start):
                     kept.append((start, end))
             found += [(s, e, kind) for s, e in kept]
-        return [Span(*f) for f in sorted(found)]
+        return tuple(sorted(found))
 
     def redact(self, text: str | None) -> str | None:
         """The text with typed placeholders; null stays null."""
@@ -343,7 +420,8 @@ def _shared_finder(parts: list[list[str]]) -> Finder:
 
 
 def _parts(name_parts: DataFrame) -> list[list[str]]:
-    rows = name_parts.where("name_part is not null and part_kind in ('given', 'family')").select("name_part", "part_kind").distinct().collect()
+    rows = name_parts.where("name_part is not null and part_kind in ('given', 'family')").select("name_part", "part_kind").distinct()
+    rows = bounded_rows(rows, "the table of name parts")
     return [sorted(r["name_part"] for r in rows if r["part_kind"] == k) for k in ("given", "family")]
 
 

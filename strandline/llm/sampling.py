@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.ranks import first_rows, mixed, with_rank
-from strandline.session import cut
+from strandline.session import cut, maybe_broadcast
 
 CATEGORY = ["k_mer5", "methy_label"]
 
@@ -59,7 +59,7 @@ def draw(features: DataFrame, targets: DataFrame, divisor: int = 10, seed: int =
 
 
 def _drawn(ranks: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    joined = ranks.join(F.broadcast(wanted.select(*CATEGORY, "target_share", "min_rows")), CATEGORY)  # one row per target
+    joined = ranks.join(maybe_broadcast(wanted.select(*CATEGORY, "target_share", "min_rows")), CATEGORY)  # one row per target
     beyond = F.col("rank") > F.col("min_rows")
     eligible = joined.where(~beyond | (F.col("target_share") > 0)).select("row_id", *CATEGORY, "rank", _priority().alias("priority"), beyond.alias("_beyond"))
     keys = [F.col("_beyond"), F.coalesce("priority", F.lit(float("inf"))), *[F.col(c) for c in CATEGORY], F.col("rank")]
