@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.arrays import let, prefix_sums
+
 #: CIGAR letters in the order of their codes.
 LETTERS = "MIDNSHP=XB"
 
@@ -18,30 +20,33 @@ def parsed(cigar: Column) -> Column:
 def stretches(cigar: Column, reverse: Column) -> Column:
     """``q, r, len, kind`` of each step along the aligned part of the read, in the read's direction: kind 0 lies on the
     reference, 1 is inserted, 2 is deleted. Clips and pads are left out; a reverse read walks the steps backwards."""
-    steps = F.filter(parsed(cigar), lambda s: s["op"].isin(0, 1, 2, 3, 7, 8))
-    steps = F.when(reverse, F.reverse(steps)).otherwise(steps)
+    kept = F.filter(parsed(cigar), lambda s: s["op"].isin(0, 1, 2, 3, 7, 8))
     kind = lambda s: F.when(s["op"] == 1, 1).when(s["op"].isin(2, 3), 2).otherwise(0)
-    start = F.struct(F.lit(0).alias("q"), F.lit(0).alias("r"), F.array().cast("array<struct<q:int,r:int,len:int,kind:int>>").alias("done"))
 
-    def walk(a: Column, s: Column) -> Column:
-        k = kind(s)
-        step = F.struct(a["q"].alias("q"), a["r"].alias("r"), s["len"].alias("len"), k.alias("kind"))
-        return F.struct((a["q"] + F.when(k == 2, 0).otherwise(s["len"])).alias("q"), (a["r"] + F.when(k == 1, 0).otherwise(s["len"])).alias("r"), F.concat(a["done"], F.array(step)).alias("done"))
+    def placed(steps: Column) -> Column:
+        q = prefix_sums(F.transform(steps, lambda s: F.when(kind(s) == 2, 0).otherwise(s["len"]).cast("bigint")))
+        r = prefix_sums(F.transform(steps, lambda s: F.when(kind(s) == 1, 0).otherwise(s["len"]).cast("bigint")))
+        both = F.zip_with(q, r, lambda x, y: F.struct(x.cast("int").alias("q"), y.cast("int").alias("r")))
+        return F.zip_with(steps, both, lambda s, at: F.struct(at["q"].alias("q"), at["r"].alias("r"), s["len"].alias("len"), kind(s).alias("kind")))
 
-    return F.aggregate(steps, start, walk, lambda a: a["done"])
+    return let(F.when(reverse, F.reverse(kept)).otherwise(kept), placed)
 
 
 def query_to_reference(cigar: Column, reverse: Column) -> Column:
     """For each aligned letter of the read its place on the reference from 0, -1 if inserted; then the place behind the last."""
-    done = stretches(cigar, reverse)
-    kept = F.filter(done, lambda s: s["kind"] != 2)
-    letters = F.flatten(F.transform(kept, lambda s: F.when(s["kind"] == 1, F.array_repeat(F.lit(-1), s["len"])).otherwise(F.sequence(s["r"], s["r"] + s["len"] - 1))))
-    return F.concat(letters, F.array(reference_length(cigar)))
+
+    def letters(done: Column) -> Column:
+        kept = F.filter(done, lambda s: (s["kind"] != 2) & (s["len"] > 0))
+        end = F.coalesce(let(F.element_at(done, -1), lambda s: s["r"] + F.when(s["kind"] == 1, 0).otherwise(s["len"])), F.lit(0))
+        each = F.flatten(F.transform(kept, lambda s: F.when(s["kind"] == 1, F.array_repeat(F.lit(-1), s["len"])).otherwise(F.sequence(s["r"], s["r"] + s["len"] - 1))))
+        return F.when(F.size(done) > 0, F.concat(each, F.array(end))).otherwise(F.array(F.lit(0)))
+
+    return let(stretches(cigar, reverse), letters)
 
 
 def reference_to_query(cigar: Column, reverse: Column) -> Column:
     """For each letter of the reference its place in the read; deleted ones repeat the place that comes next."""
-    kept = F.filter(stretches(cigar, reverse), lambda s: s["kind"] != 1)
+    kept = F.filter(stretches(cigar, reverse), lambda s: (s["kind"] != 1) & (s["len"] > 0))
     return F.flatten(F.transform(kept, lambda s: F.when(s["kind"] == 2, F.array_repeat(s["q"], s["len"])).otherwise(F.sequence(s["q"], s["q"] + s["len"] - 1))))
 
 

@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
+from strandline.functions.arrays import let, prefix_sums
 from strandline.functions.seq import motif_sites
 
 
+@pandas_udf(ArrayType(IntegerType()))
+def _c_gaps(seqs: pd.Series, places: pd.Series) -> pd.Series:
+    """Cs between one place and the next, from one count of all Cs of a sequence; null if some place is not a C."""
+    out = []
+    for seq, at in zip(seqs, places):
+        if seq is None or at is None:
+            out.append(None)
+            continue
+        is_c = np.frombuffer(seq.encode("ascii", "replace"), np.uint8) == ord("C")
+        at = np.asarray(at, np.int64)
+        if len(at) and (at.min() < 0 or at.max() >= len(is_c) or not is_c[at].all()):
+            out.append(None)
+            continue
+        out.append(np.diff(np.cumsum(is_c)[at], prepend=0).astype(np.int32) - 1)
+    return pd.Series(out)
+
+
 def skips(seq: Column, places: Column) -> Column:
     """Cs between one called C and the next; null if some place is not a C. ``places`` are sorted, from 0."""
-    before = F.concat(F.array(F.lit(-1)), F.slice(places, 1, F.greatest(F.size(places) - 1, F.lit(0))))
-    between = F.zip_with(before, places, lambda a, b: F.length(F.regexp_replace(F.substring(seq, a + 2, b - a - 1), "[^C]", "")))
-    return F.when(F.size(places) == 0, F.array().cast("array<int>")).when(~F.exists(places, lambda p: F.substring(seq, p + 1, F.lit(1)) != "C"), between)
+    return _c_gaps(seq, places)
 
 
 def mm_tag(seq: Column, places: Column) -> Column:
@@ -29,7 +49,7 @@ def ml_tag(probabilities: Column) -> Column:
 def called_places(seq: Column, mm: Column) -> Column:
     """The places an MM tag names."""
     gaps = F.transform(F.filter(F.split(F.regexp_extract(mm, r"^C\+m\?,([\d,]*);", 1), ","), lambda x: x != ""), lambda x: x.cast("int"))
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<int>").alias("all"))
-    ordinals = F.aggregate(gaps, start, lambda a, g: F.struct((a["at"] + g + 1).alias("at"), F.concat(a["all"], F.array(a["at"] + g + 1)).alias("all")), lambda a: a["all"])
+    steps = F.transform(gaps, lambda g: (g + 1).cast("bigint"))
+    ordinals = let(steps, lambda x: F.zip_with(prefix_sums(x), x, lambda before, own: (before + own - 1).cast("int")))
     both = F.array(F.struct(motif_sites(seq, ["C"]).alias("cs"), ordinals.alias("picked")))  # computed once, not per place
     return F.transform(both, lambda x: F.transform(x["picked"], lambda o: F.element_at(x["cs"], o + 1)))[0]

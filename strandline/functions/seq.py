@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.arrays import chunks, let
+
 #: Letters of nucleotides and sets of nucleotides, in the order of their codes, and their complements.
 ALPHABET = "ACGTNWSMKRYBVDHZ"
 COMPLEMENT = "TGCANWSKMYRVBHDZ"
@@ -25,17 +27,26 @@ def reverse_complement(seq: Column) -> Column:
     return F.translate(F.regexp_replace(F.reverse(F.upper(seq)), f"[^{ALPHABET}]", "N"), ALPHABET, COMPLEMENT)
 
 
+#: Letters searched at once; longer sequences are cut into pieces of this size.
+PIECE = 1024
+
+
 def motif_sites(seq: Column, motifs: list[str], offset: int = 0) -> Column:
     """Places from 0 at which a motif begins, overlaps included, shifted by ``offset``; all motifs have one length.
 
-    The sequence is split in front of every motif, so the work after that follows the sites, not the letters.
+    The sequence is cut into pieces that overlap by all but one letter of a motif, so the work follows its length.
     """
-    parts = F.split(seq, f"(?={'|'.join(motifs)})")
+    found = F.transform(chunks(seq, PIECE, len(motifs[0]) - 1), lambda piece, k: F.transform(_sites_in_piece(piece, motifs), lambda i: i + k * PIECE + offset))
+    return F.flatten(found)
+
+
+def _sites_in_piece(piece: Column, motifs: list[str]) -> Column:
+    """The places in a short sequence. It is split in front of every motif, so the work after that follows the sites, not the letters."""
+    parts = F.split(piece, f"(?={'|'.join(motifs)})")
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
     starts = F.aggregate(parts, none, lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
-    opens = F.substring(seq, 1, len(motifs[0])).isin(motifs)
-    found = F.when(opens, starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
-    return F.transform(found, lambda i: i + offset) if offset else found
+    opens = F.substring(piece, 1, len(motifs[0])).isin(motifs)
+    return F.when(opens, starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
 
 
 def codes(seq: Column) -> Column:
@@ -49,13 +60,28 @@ def centre(seq: Column, length: int = 5) -> Column:
     return F.substring(seq, (F.greatest(middle - half, F.lit(0)) + 1).cast("int"), F.lit(length))
 
 
-def near_another(place: Column, places: Column, reach: int = PROXIMITY) -> Column:
-    """Whether another place lies within ``reach``."""
-    return F.exists(places, lambda p: (p != place) & (F.abs(p - place) <= reach))
+def proximity(places: Column, reach: int = PROXIMITY) -> Column:
+    """For each of sorted places 1 if another one lies within ``reach``, else 0: the nearest on either side tells."""
+    n = F.size(places)
+
+    def near(p: Column) -> Column:
+        far = F.lit(reach + 1)
+        gap = lambda i, j: F.when((i >= 0) & (j < n), F.get(p, j) - F.get(p, i)).otherwise(far)
+        return F.transform(p, lambda _, i: (F.least(gap(i - 1, i), gap(i, i + 1)) <= reach).cast("int"))
+
+    return let(places, near)
+
+
+def gc_shares(seq: Column, motifs: list[str], reach: int = 50) -> Column:
+    """For each motif's place the G and C letters around it, out of 2 * reach whatever is there.
+
+    Windows run from ``reach`` letters before the place to ``reach`` behind it. They are taken from overlapping pieces, not from the whole sequence.
+    """
 
+    def shares(piece: Column, k: Column) -> Column:
+        first, last = F.when(k == 0, 0).otherwise(reach), PIECE + reach
+        own = F.filter(_sites_in_piece(piece, motifs), lambda i: (i >= first) & (i < last))
+        around = lambda i: F.substring(piece, F.greatest(i - reach, F.lit(0)) + 1, i + reach - F.greatest(i - reach, F.lit(0)))
+        return F.transform(own, lambda i: F.length(F.regexp_replace(around(i), "[^GC]", "")) / (2.0 * reach))
 
-def gc_share(seq: Column, place: Column, reach: int = 50) -> Column:
-    """G and C letters around a place from 0, out of 2 * reach whatever is there."""
-    start = F.greatest(place - reach, F.lit(0))
-    around = F.substring(seq, (start + 1).cast("int"), (place + reach - start).cast("int"))
-    return F.length(F.regexp_replace(around, "[^GC]", "")) / (2.0 * reach)
+    return F.flatten(F.transform(chunks(seq, PIECE, 2 * reach + len(motifs[0]) - 1), shares))

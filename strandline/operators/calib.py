@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.blocks import blocked, with_halo
+
 WIDTH = 11
 
 
@@ -13,29 +15,16 @@ def read_features(calls: DataFrame) -> DataFrame:
     return calls.groupBy("readname").agg(F.log1p(F.count(F.lit(1))).alias("log_sites"), F.avg("prob_1").alias("mean_prob"), F.stddev_pop("prob_1").alias("std_prob"))
 
 
-def read_windows(calls: DataFrame, width: int = WIDTH, block: int = 1 << 12) -> DataFrame:
+def read_windows(calls: DataFrame, width: int = WIDTH) -> DataFrame:
     """Adds ``probs, offsets, valid``: the call and its neighbours by position on the same read and contig.
 
     Missing neighbours count as probability 0, offset 0, valid 0; offsets are absolute distances. A read may
-    hold any share of the rows: its calls are cut into blocks of positions, and each block also gets copies of the
-    nearest calls of the blocks beside it, so a window never needs a whole read in one task.
+    hold any share of the rows, even at one position: calls in order are cut into blocks of nearly equal size, and each block also gets
+    copies of the nearest calls beside it.
     """
     side = width // 2
-    blocked = calls.withColumn("_block", F.floor(F.col("pos") / block))
-    key = ["readname", "chrom"]
-    order = ["pos", "row_id"]
-    place = ["row_id", "pos", "prob_1"]
-    first = Window.partitionBy(*key, "_block").orderBy(*order)
-    last = Window.partitionBy(*key, "_block").orderBy(*[F.desc(c) for c in order])
-    edge = blocked.select(*key, "_block", *place, F.row_number().over(first).alias("_f"), F.row_number().over(last).alias("_l")).where((F.col("_f") <= side) | (F.col("_l") <= side))
-    # the nearest `side` calls on either side of a block, looking past blocks with fewer calls
-    sums = edge.groupBy(*key, "_block").agg(F.sort_array(F.collect_list(F.struct("pos", "row_id", "prob_1"))).alias("_edge"))
-    blocks = Window.partitionBy(*key).orderBy("_block")
-    cat = lambda w: F.flatten(F.collect_list("_edge").over(w))
-    near = sums.select(*key, "_block", cat(blocks.rowsBetween(-side, -1)).alias("_left"), cat(blocks.rowsBetween(1, side)).alias("_right"))
-    halo = near.select(*key, "_block", F.explode(F.concat(F.slice("_left", F.greatest(F.lit(1), F.size("_left") - side + 1), F.lit(side)), F.slice("_right", 1, side))).alias("_x"))
-    copies = halo.select(*key, "_block", "_x.*", F.lit(True).alias("_copy"))
-    both = blocked.withColumn("_copy", F.lit(False)).unionByName(copies, allowMissingColumns=True)
+    key, order = ["readname", "chrom"], ["pos", "row_id"]
+    both = with_halo(blocked(calls, key, order), key, order, side, ["prob_1"])
     w = Window.partitionBy(*key, "_block").orderBy(*order)
     at = lambda c, k: F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w) if k else F.col(c)
     span = range(-side, side + 1)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.blocks import blocked, with_halo
+from strandline.operators.skew import split_join
+
 BINS = 20
 SIDE = 5
 PAD_DISTANCE = 10_000
@@ -26,13 +29,26 @@ def unambiguous(calls: DataFrame, least: float = 0.5) -> DataFrame:
 def site_counts(calls: DataFrame, least: float = 0.5) -> DataFrame:
     """Sums, counts and frequency of each site; strand, place in the strand and k-mer are those of its first row.
 
-    Sites are keyed by contig and position, without strand. One shuffle of partial sums.
+    Sites are keyed by contig and position, without strand; ``row_id`` tells rows apart, and rows without a site are left out.
+    One shuffle of partial sums, which hash aggregation keeps unsorted; the first rows then meet their sites by row id.
     """
-    first = F.min_by(F.struct("strand", "pos_in_strand", "k_mer"), "row_id").alias("first")
-    sums = unambiguous(calls, least).groupBy("chrom", "pos").agg(
-        F.sum("prob_0").alias("prob_0_sum"), F.sum("prob_1").alias("prob_1_sum"), F.count_if(F.col("called_label") == 1).alias("count_modified"), F.count_if(F.col("called_label") == 0).alias("count_unmodified"), F.count(F.lit(1)).alias("coverage"), first
+    kept = unambiguous(calls, least).where("chrom is not null and pos is not null")
+    sums = kept.groupBy("chrom", "pos").agg(
+        F.sum("prob_0").alias("prob_0_sum"), F.sum("prob_1").alias("prob_1_sum"), F.count_if(F.col("called_label") == 1).alias("count_modified"), F.count_if(F.col("called_label") == 0).alias("count_unmodified"), F.count(F.lit(1)).alias("coverage"), F.min("row_id").alias("row_id")
     )
-    return sums.select("chrom", "pos", "first.strand", "first.pos_in_strand", "prob_0_sum", "prob_1_sum", "count_modified", "count_unmodified", "coverage", (F.col("count_modified") / F.col("coverage")).alias("modification_frequency"), "first.k_mer")
+    first = kept.select("row_id", "chrom", "pos", "strand", "pos_in_strand", "k_mer")
+    return sums.join(first, ["row_id", "chrom", "pos"]).select("chrom", "pos", "strand", "pos_in_strand", "prob_0_sum", "prob_1_sum", "count_modified", "count_unmodified", "coverage", (F.col("count_modified") / F.col("coverage")).alias("modification_frequency"), "k_mer")
+
+
+def sorted_sites(sites: DataFrame) -> DataFrame:
+    """Sites in the order of contig (by letters) and position (by number), for writing: partitions are ranges, sorted inside."""
+    return sites.orderBy("chrom", "pos")
+
+
+def check_counts(sites: DataFrame) -> DataFrame:
+    """The sites, each with as many modified and unmodified calls as its coverage; the query fails otherwise."""
+    whole = F.col("coverage") == F.col("count_modified") + F.col("count_unmodified")
+    return sites.withColumn("coverage", F.when(whole, F.col("coverage")).otherwise(F.raise_error(F.concat(F.lit("counts differ from the coverage at "), F.col("chrom"), F.lit(" "), F.col("pos"))).cast("bigint")))
 
 
 def percent(frequency: Column) -> Column:
@@ -82,20 +98,28 @@ def site_histograms(calls: DataFrame, bins: int = BINS, min_coverage: int = MIN_
     return counted.select("chrom", "pos", "coverage", hist, (F.col("coverage") >= min_coverage).alias("is_anchor"))
 
 
+def _between_anchors(sites: DataFrame, side: int) -> DataFrame:
+    """Sites with ``near_<slot>`` for slots -side..-1 and 1..side: position and histogram of the anchors before and after; null beyond the last one.
+
+    Sites in order are cut into blocks of nearly equal size, each with copies of the nearest anchors beside it, so
+    one window over a block tells all slots and no contig has to sit in one task.
+    """
+    order = ["pos"]
+    both = with_halo(blocked(sites, ["chrom"], order), ["chrom"], order, side, ["hist", "is_anchor"], "is_anchor")
+    anchors = both.withColumn("_anchor", F.when(F.col("is_anchor"), F.struct("pos", "hist")))
+    place = "ignore nulls over (partition by chrom, _block order by pos)"
+    near = {f"near_{k}": F.expr(f"{'lag' if k < 0 else 'lead'}(_anchor, {abs(k)}) {place}") for k in [*range(-side, 0), *range(1, side + 1)]}
+    return anchors.withColumns(near).where("not _copy").drop("_copy", "_block", "_anchor")
+
+
 def anchor_neighbours(sites: DataFrame, side: int = SIDE) -> DataFrame:
     """``chrom, pos, slot, near_pos, near_hist``: the nearest anchors before (slots -side..-1) and after (1..side) each site.
 
-    Anchors get their rank on the contig; a site wants the ranks around its own place and meets them by an equal join on
-    contig and rank, so the work is linear. The rank is a running count over blocks of positions, so no contig
-    has to sit in one task. Slots without an anchor are absent; a site that is an anchor is not its own neighbour.
+    Slots without an anchor are absent; a site that is an anchor is not its own neighbour.
     """
-    ranked = with_anchor_rank(sites)
-    offsets = F.array(*[F.lit(k) for k in [*range(-side, 0), *range(1, side + 1)]])
-    wanted = ranked.select("chrom", "pos", F.explode(offsets).alias("slot"), "rank_before", "is_anchor")
-    own = F.col("is_anchor").cast("int")
-    wanted = wanted.select("chrom", "pos", "slot", (F.col("rank_before") + F.col("slot") + F.when(F.col("slot") > 0, own).otherwise(1)).alias("rank"))
-    anchors = ranked.where("is_anchor").select("chrom", (F.col("rank_before") + 1).alias("rank"), F.col("pos").alias("near_pos"), F.col("hist").alias("near_hist"))
-    return wanted.join(anchors, ["chrom", "rank"]).select("chrom", "pos", "slot", "near_pos", "near_hist")
+    slots = F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.col(f"near_{k}").alias("near")) for k in [*range(-side, 0), *range(1, side + 1)]])).alias("x")
+    found = _between_anchors(sites, side).select("chrom", "pos", slots).where("x.near is not null")
+    return found.select("chrom", "pos", "x.slot", F.col("x.near.pos").alias("near_pos"), F.col("x.near.hist").alias("near_hist"))
 
 
 def with_anchor_rank(sites: DataFrame, block: int = 1 << 16) -> DataFrame:
@@ -115,17 +139,15 @@ def site_windows(sites: DataFrame, side: int = SIDE, bins: int = BINS, pad: int
     Missing neighbours are zero histograms ``pad`` before the first or behind the last site of the contig.
     Distances are absolute; the site itself stands in the middle.
     """
-    near = anchor_neighbours(sites, side).groupBy("chrom", "pos").agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("near_pos", "near_hist")))).alias("near"))
     ends = sites.groupBy("chrom").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
-    joined = sites.join(near, ["chrom", "pos"], "left").join(ends, "chrom")
+    joined = split_join(_between_anchors(sites, side), ends, "chrom", "inner")
     zero = F.array_repeat(F.lit(0.0), bins)
 
     def slot(k: int) -> tuple[Column, Column]:
         if k == 0:
             return F.lit(0).cast("bigint"), F.col("hist")
-        found = F.try_element_at("near", F.lit(k))
         away = F.col("first_pos") - pad if k < 0 else F.col("last_pos") + pad
-        return F.abs(F.coalesce(found["near_pos"], away) - F.col("pos")), F.coalesce(found["near_hist"], zero)
+        return F.abs(F.coalesce(F.col(f"near_{k}.pos"), away) - F.col("pos")), F.coalesce(F.col(f"near_{k}.hist"), zero)
 
     parts = [slot(k) for k in range(-side, side + 1)]
     return joined.select("chrom", "pos", "coverage", F.array(*[d for d, _ in parts]).alias("dist"), F.array(*[h for _, h in parts]).alias("hist"))

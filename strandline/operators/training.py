@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.ranks import with_rank
+from strandline.operators.skew import split_join
 from strandline.session import cut, shuffle_partitions
 
 
@@ -114,7 +115,7 @@ def with_average_rank(rows: DataFrame, column: str, into: str) -> DataFrame:
     inside = Window.partitionBy("_pid").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     below = F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     ranks = ordered.join(F.broadcast(sums), "_pid").select(column, (below + (F.col("_n") + 1) / 2).alias(into))
-    return rows.join(ranks, column)
+    return split_join(rows, ranks, column, "inner")
 
 
 def regression(rows: DataFrame, label: str, predicted: str) -> DataFrame:

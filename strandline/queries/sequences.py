@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions import cigar, modtags, seq, signal, vectors
+from strandline.functions import arrays, cigar, modtags, seq, signal, vectors
 from strandline.operators import filters, training
 from strandline.operators.spectrum import spectrum
 from strandline.session import table
@@ -45,16 +45,14 @@ def revcomp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def proximity_tag(spark: SparkSession, d: str) -> DataFrame:
-    """Sites with another one within ten letters: the nearest on either side tells."""
+    """Sites with another one within ten letters."""
     sites = _sequences(spark, d).select("doc_id", seq.motif_sites(F.col("seq"), ["CG"]).alias("all"))
-    gaps = F.zip_with(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.slice("all", 1, F.greatest(F.size("all") - 1, F.lit(0))), lambda b, a: b - a)
-    near = F.zip_with(F.concat(F.array(F.lit(99)), gaps), F.concat(gaps, F.array(F.lit(99))), lambda x, y: (F.least(x, y) <= seq.PROXIMITY).cast("int"))
-    return sites.where(F.size("all") > 0).select("doc_id", F.size("all").alias("n_sites"), F.aggregate(near, F.lit(0), lambda a, x: a + x).alias("n_near"))
+    return sites.where(F.size("all") > 0).select("doc_id", F.size("all").alias("n_sites"), F.aggregate(seq.proximity(F.col("all")), F.lit(0), lambda a, x: a + x).alias("n_near"))
 
 
 def gc_content(spark: SparkSession, d: str) -> DataFrame:
-    sites = _sequences(spark, d).select("doc_id", "seq", F.explode(seq.motif_sites(F.col("seq"), ["CG"])).alias("at"))
-    return sites.select("doc_id", seq.gc_share(F.col("seq"), F.col("at")).alias("gc")).groupBy("doc_id").agg(F.round(F.sum("gc"), 4).alias("gc_sum"))
+    shares = _sequences(spark, d).select("doc_id", seq.gc_shares(F.col("seq"), ["CG"]).alias("gc")).where(F.size("gc") > 0)
+    return shares.select("doc_id", F.round(F.aggregate("gc", F.lit(0.0), lambda a, x: a + x), 4).alias("gc_sum"))
 
 
 def mm_skips(spark: SparkSession, d: str) -> DataFrame:
@@ -72,9 +70,9 @@ def ml_quantise(spark: SparkSession, d: str) -> DataFrame:
 
 def contig_cpg(spark: SparkSession, d: str) -> DataFrame:
     """CpG sites of every contig; long contigs are cut into overlapping chunks, so none has to fit one array."""
-    chunks = table(spark, d, "contigs").select("contig", F.upper("seq").alias("seq"), F.explode(F.sequence(F.lit(0), F.length("seq"), F.lit(CHUNK))).alias("start"))
-    found = chunks.select("contig", "start", F.explode(seq.motif_sites(F.substring("seq", F.col("start") + 1, F.lit(CHUNK + 1)), ["CG"])).alias("at"))
-    return found.select("contig", (F.col("start") + F.col("at")).cast("bigint").alias("pos"))
+    pieces = table(spark, d, "contigs").select("contig", F.posexplode(arrays.chunks(F.upper("seq"), CHUNK, 1)).alias("k", "piece"))
+    found = pieces.select("contig", "k", F.explode(seq.motif_sites(F.col("piece"), ["CG"])).alias("at"))
+    return found.select("contig", (F.col("k").cast("bigint") * CHUNK + F.col("at")).alias("pos"))
 
 
 def kmer_codes(spark: SparkSession, d: str) -> DataFrame:

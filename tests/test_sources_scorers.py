@@ -1,11 +1,12 @@
 import gzip
+import random
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions import cigar, modtags, seq, signal
+from strandline.functions import arrays, cigar, modtags, seq, signal
 from strandline.operators import calib, freq, training
 from strandline.scorers import hte, layers, models
 from strandline.sources import bam, text
@@ -51,12 +52,68 @@ def test_histogram_and_percent(spark):
     assert [one(spark, freq.percent(F.lit(x)))[0] for x in (1 / 8, 0.5, 0.005)] == [13, 50, 1]
 
 
-def test_read_window_alone_and_across_blocks(spark):
-    calls = spark.createDataFrame([(i, "r", "c", p, 0.5) for i, p in enumerate([1, 5000, 5001, 9000, 20000, 90000])], "row_id bigint, readname string, chrom string, pos bigint, prob_1 double")
-    small = {r["row_id"]: (list(r["probs"]), list(r["offsets"])) for r in calib.read_windows(calls, block=4096).collect()}
-    whole = {r["row_id"]: (list(r["probs"]), list(r["offsets"])) for r in calib.read_windows(calls, block=1 << 30).collect()}
-    assert small == whole and len(small) == 6
-    assert sum(calib.read_windows(calls.limit(1)).first()["valid"]) == 1
+def test_read_windows_over_blocks(spark):
+    rng = random.Random(9)
+    rows = [(i, "hot" if i % 3 else f"r{i % 5}", f"c{i % 2}", rng.choice([7, 7, 7, rng.randrange(100_000)]), rng.random()) for i in range(900)]
+    calls = spark.createDataFrame(rows, "row_id bigint, readname string, chrom string, pos bigint, prob_1 double")
+    want = {}
+    for key in {(r[1], r[2]) for r in rows}:
+        own = sorted((r for r in rows if (r[1], r[2]) == key), key=lambda r: (r[3], r[0]))
+        for i, r in enumerate(own):
+            near = [own[j] if 0 <= j < len(own) else None for j in range(i - 5, i + 6)]
+            want[r[0]] = ([x[4] if x else 0.0 for x in near], [float(abs(x[3] - r[3])) if x else 0.0 for x in near], [1.0 if x else 0.0 for x in near])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("2", "150"):  # blocks of some six calls are shorter than a window
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = {r["row_id"]: (list(r["probs"]), list(r["offsets"]), list(r["valid"])) for r in calib.read_windows(calls).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(calib.read_windows(calls.limit(1)).first()["valid"]) == 1 and calib.read_windows(calls.limit(0)).count() == 0
+
+
+def test_anchor_windows_over_blocks(spark):
+    rng = random.Random(10)
+    spots = sorted({("a" if rng.random() < 0.8 else "b", rng.randrange(5000)) for _ in range(500)})
+    sites = [(c, p, 1, [float(p)], rng.random() < (0.03 if p < 2500 else 0.6)) for c, p in spots]
+    frame = spark.createDataFrame(sites, "chrom string, pos bigint, coverage bigint, hist array<double>, is_anchor boolean")
+    want = set()
+    for c, p, *_ in sites:
+        anchors = [x[1] for x in sites if x[0] == c and x[4]]
+        for k, near in enumerate(sorted((a for a in anchors if a < p), reverse=True)[:5], 1):
+            want.add((c, p, -k, near))
+        for k, near in enumerate(sorted(a for a in anchors if a > p)[:5], 1):
+            want.add((c, p, k, near))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in ("2", "120"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = [(r["chrom"], r["pos"], r["slot"], r["near_pos"]) for r in freq.anchor_neighbours(frame).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_long_arrays_and_texts(spark):
+    values = [((i * 7919) % 13) - 3 for i in range(40_000)]
+    frame = spark.createDataFrame([(values,), ([],), ([5],)], "v array<bigint>")
+    got = [list(r[0]) for r in frame.select(arrays.prefix_sums(F.col("v"))).collect()]
+    assert got[0] == list(np.cumsum([0, *values])[:-1]) and got[1] == [] and got[2] == [0]
+    text = "".join(random.Random(3).choice("ACGT") for _ in range(50_000))
+    sites = [i for i in range(len(text) - 1) if text[i : i + 2] == "CG"]
+    row = spark.createDataFrame([(text, sites)], "s string, p array<int>").select(
+        seq.motif_sites(F.col("s"), ["CG"]), modtags.skips(F.col("s"), F.col("p")), modtags.called_places(F.col("s"), modtags.mm_tag(F.col("s"), F.col("p"))), seq.proximity(F.col("p")), seq.gc_shares(F.col("s"), ["CG"])
+    ).first()
+    assert list(row[0]) == sites and list(row[2]) == sites
+    assert list(row[1]) == [text.count("C", (sites[i - 1] + 1) if i else 0, s) for i, s in enumerate(sites)]
+    assert list(row[3]) == [int(any(0 < abs(s - t) <= 10 for t in sites[max(0, i - 1) : i + 2])) for i, s in enumerate(sites)]
+    assert list(row[4]) == pytest.approx([sum(x in "GC" for x in text[max(0, s - 50) : s + 50]) / 100 for s in sites])
+    steps = [(random.Random(i).randrange(1, 9), "MID"[i % 3]) for i in range(3000)]
+    places, q, r = [], 0, 0
+    for n, op in steps:
+        for _ in range(n if op != "D" else 0):
+            places.append(r if op == "M" else -1)
+            r += op == "M"
+        r += n if op == "D" else 0
+    lifted = spark.createDataFrame([("".join(f"{n}{op}" for n, op in steps),)], "c string").select(cigar.query_to_reference(F.col("c"), F.lit(False))).first()[0]
+    assert list(lifted) == [*places, r]
 
 
 def test_text_round_trip(spark, tmp_path):
