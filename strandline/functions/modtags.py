@@ -30,6 +30,26 @@ def _c_gaps(seqs: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def near_letter(seq: Column, places: Column, reach: int, letter: str = "C") -> Column:
+    """For each place 1 if the letter stands at another one within ``reach``, else 0."""
+
+    @pandas_udf(ArrayType(IntegerType()))
+    def near(seqs: pd.Series, at: pd.Series) -> pd.Series:
+        out = []
+        for s, p in zip(seqs, at):
+            if s is None or p is None:
+                out.append(None)
+                continue
+            is_letter = np.frombuffer(s.encode("ascii", "replace"), np.uint8) == ord(letter)
+            before = np.concatenate([[0], np.cumsum(is_letter)])
+            p = np.asarray(p, np.int64)
+            around = before[np.minimum(p + reach + 1, len(is_letter))] - before[np.maximum(p - reach, 0)]
+            out.append((around > is_letter[p]).astype(np.int32))
+        return pd.Series(out)
+
+    return near(seq, places)
+
+
 def skips(seq: Column, places: Column) -> Column:
     """Cs between one called C and the next; null if some place is not a C. ``places`` are sorted, from 0."""
     return _c_gaps(seq, places)

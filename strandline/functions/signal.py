@@ -48,10 +48,10 @@ def mad_scaled(values: Column) -> Column:
 
 
 def trimmed(values: Column, start: Column, end: Column) -> Column:
-    """From ``start`` on (negative: from that many samples before the end), with ``end`` samples kept of what lies before if positive."""
-    n = F.size(values)
-    first = F.when(start >= 0, start).otherwise(F.greatest(n + start, F.lit(0)))
-    length = F.greatest(F.coalesce(end, n) - first, F.lit(0))
+    """Without the first ``start`` samples, or without the last ones where it is negative; of what lies before sample ``end`` if that is not null."""
+    n = F.least(F.size(values), F.coalesce(end, F.size(values)))
+    first = F.greatest(start, F.lit(0))
+    length = F.greatest(n - F.abs(start), F.lit(0))
     return F.slice(values, first + 1, length)
 
 

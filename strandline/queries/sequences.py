@@ -124,7 +124,7 @@ def signal_picoamps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def signal_trim(spark: SparkSession, d: str) -> DataFrame:
-    """Trimmed from the front, or to a tail where the start is negative."""
+    """Trimmed from the front, or from the tail where the start is negative."""
     start = F.when(F.col("vec_id") % 2 == 0, (F.col("vec_id") % 40).cast("int")).otherwise(-(F.col("vec_id") % 40).cast("int"))
     rows = _signals(spark, d).select("vec_id", signal.trimmed(F.col("signal"), start, F.lit(None).cast("int")).alias("t"))
     return rows.select("vec_id", F.size("t").alias("n_samples"), F.round(signal.total(F.col("t")), 5).alias("total"))
@@ -303,7 +303,7 @@ p as (select vec_id, base, v, case when n <= 3 then (3 - n) // 2 + j end as plac
 select vec_id, base::int as base, place::int as place, round(v, 6) as value from p where n <= 3
 union all select k.vec_id, k.base::int, t.t::int, round(k.v, 6) from k join (select unnest([0, 1, 2]) as t) t on k.j = floor(t.t * (k.n - 1) / 2.0)::int where k.n > 3""",
     "signal_picoamps": f"with {_G} select vec_id, round(sum((1400.0::double + vec_id % 7) / 8192 * (v + 10) * (i + 1)), 3) as mix from x group by 1",
-    "signal_trim": f"""with {_G}, k as (select *, count(*) over (partition by vec_id) as n from x), t as (select * from k where i >= case when vec_id % 2 = 0 or vec_id % 40 = 0 then vec_id % 40 else n - vec_id % 40 end)
+    "signal_trim": f"""with {_G}, k as (select *, count(*) over (partition by vec_id) as n from x), t as (select * from k where case when vec_id % 2 = 0 then i >= vec_id % 40 else i < n - vec_id % 40 end)
 select e.vec_id, coalesce(c, 0)::int as n_samples, round(coalesce(s, 0), 5) as total from embeddings e left join (select vec_id, count(*) as c, sum(v) as s from t group by 1) t using (vec_id)""",
     "signal_fft": f"""with {_G}, n as (select vec_id, len(embedding) as n from embeddings), k as (select vec_id, n, unnest(range(0, n)) as k from n)
 select vec_id, k::int as k, round(sqrt(pow(sum(v * cos(2 * pi() * k * i / n)), 2) + pow(sum(v * sin(2 * pi() * k * i / n)), 2)), 4) as magnitude from k join x using (vec_id) group by 1, 2""",
