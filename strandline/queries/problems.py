@@ -132,11 +132,12 @@ whole as (select row_id, src, base_idx, count(*) filter (there) >= 5 and min(v)
   max(v) filter (place = 7 and there and isfinite(v)) - max(v) filter (place = 6 and there and isfinite(v)) as step from kept group by 1, 2, 3),
 step1 as (select *, isfinite(v) and not stuck and not (field_name = 'signal_stds' and v < 0) as good from sized),
 cells as (
-  select src, field_name, v, case when good and lag(good) over w then v - lag(v) over w end as step, good from step1 window w as (partition by row_id, field_name order by base_idx)
-  union all select src, 'raw_signals', level, case when not stuck then step end, level is not null and not coalesce(stuck, false) from whole
+  select row_id, src, field_name, v, case when good and lag(good) over w then abs(v - lag(v) over w) end as step, good from step1 window w as (partition by row_id, field_name order by base_idx)
+  union all select row_id, src, 'raw_signals', level, case when not stuck then abs(step) end, level is not null and not coalesce(stuck, false) from whole
 ),
-quartiles as (select src, field_name, median(v) filter (good) as c, quantile_cont(v, 0.75) filter (good) - quantile_cont(v, 0.25) filter (good) as spread, quantile_cont(step, 0.75) - quantile_cont(step, 0.25) as step from cells group by 1, 2),
-model as (select src, field_name, c, spread / 1.349 as s, coalesce(greatest(0.3, least(0.9, 1 - (1 - step * step / (2 * spread * spread)) / 0.5)), 0.5) as noise from quartiles),
+quartiles as (select src, field_name, median(v) filter (good) as c, (quantile_cont(v, 0.75) filter (good) - quantile_cont(v, 0.25) filter (good)) / 1.349 as s from cells group by 1, 2),
+usual as (select src, field_name, avg(step) * 2 / 1.349 as step from (select row_id, src, field_name, median(step) as step from cells group by 1, 2, 3) group by 1, 2),
+model as (select src, field_name, c, s, coalesce(greatest(0.3, least(0.9, 1 - (1 - step * step / (2 * s * s)) / 0.5)), 0.5) as noise from quartiles join usual using (src, field_name)),
 series as (
   select row_id, src, field_name, base_idx as spot, base_idx, v, v is not null and isfinite(v) and not (field_name = 'signal_stds' and v < 0) as ok from flat
   union all select row_id, src, 'raw_signals', base_idx * 15 + place, base_idx, v, there and isfinite(v) from kept
