@@ -38,3 +38,15 @@ def _copied(values: Column, start: Column) -> Column:
 def chunks(text: Column, size: int, more: int = 0) -> Column:
     """A text cut into pieces of ``size`` letters, each with up to ``more`` letters of what follows. One pass over the text."""
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size + more}}})).{{1,{size}}}"), F.lit(1))
+
+
+def centre_crop(values: Column, length: int, bias: int = 0) -> Column:
+    """The ``length`` elements in the middle, moved by ``bias``."""
+    first = F.floor((F.size(values) - length) / 2).cast("int") + bias
+    return F.slice(values, F.greatest(first, F.lit(0)) + 1, F.lit(length))
+
+
+def segment_of(lengths: Column, place: Column) -> Column:
+    """``segment, offset`` of a place in segments laid end to end; null beyond the last one."""
+    inside = lambda starts: F.filter(F.transform(starts, lambda s, i: F.struct(i.alias("segment"), (place - s).alias("offset"))), lambda x: (x["offset"] >= 0) & (x["offset"] < F.get(lengths, x["segment"])))
+    return F.get(let(prefix_sums(F.transform(lengths, lambda n: n.cast("bigint"))), inside), 0)

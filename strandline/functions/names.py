@@ -30,3 +30,8 @@ def contig_lookup(contigs: DataFrame, aliases: DataFrame) -> DataFrame:
     own = contigs.select(folded(F.col("contig")).alias("spelling"), F.col("contig").alias("contig_key"), F.lit(0).alias("rank"))
     other = aliases.select(folded(F.col("alias_name")).alias("spelling"), F.col("contig").alias("contig_key"), F.lit(1).alias("rank"))
     return own.unionByName(other).where("spelling is not null and contig_key is not null").groupBy("spelling").agg(F.min_by("contig_key", F.struct("rank", "contig_key")).alias("contig_key"))
+
+
+def read_strand(subgroup: Column) -> Column:
+    """``t`` for the template strand, else ``c``, from the name of a basecall group."""
+    return F.when(subgroup.endswith("template"), "t").otherwise("c")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions.arrays import let
+from strandline.functions.hashes import mixed
+
 #: Fixed value: the 0.75 quantile of the standard normal distribution, which scales a MAD to a deviation.
 MAD_TO_SIGMA = 0.6744897501960817
 
@@ -95,3 +98,17 @@ def rectangle(groups: Column, length: int, pad: float = float("nan")) -> Column:
 def folded_trace(row: Column) -> Column:
     """Eight trace columns as four."""
     return F.zip_with(F.slice(row, 1, 4), F.slice(row, 5, 4), lambda a, b: a + b)
+
+
+def base_probabilities(trace: Column, moves: Column) -> Column:
+    """For each base the trace's four columns summed over its moves, as shares of their sum."""
+    column_sums = lambda rows: F.aggregate(rows, F.array_repeat(F.lit(0.0), 4), lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
+    share = lambda sums: let(sums, lambda s: let(total(s), lambda n: F.transform(s, lambda x: F.try_divide(x, n))))
+    rows = lambda b: F.slice(trace, b["begin"] + 1, b["size"])
+    return F.when(F.try_element_at(moves, F.lit(1)) == 1, F.transform(bounds(moves, F.lit(1), F.size(trace)), lambda b: share(column_sums(rows(b)))))
+
+
+def sampled(values: Column, length: int, seed: int = 0) -> Column:
+    """``length`` random samples of a longer array in their order; a shorter one stays as it is. Repeatable: places go by a hash."""
+    picked = F.slice(F.array_sort(F.transform(values, lambda _, i: F.struct(mixed(i.cast("bigint"), seed).alias("h"), i.alias("i")))), 1, length)
+    return F.when(F.size(values) <= length, values).otherwise(F.transform(F.array_sort(F.transform(picked, lambda x: x["i"])), lambda i: F.get(values, i)))

@@ -46,3 +46,13 @@ def rewrite(calls: DataFrame, probability: str) -> DataFrame:
     p1 = F.round(F.col(probability), 6)
     there = F.col(probability).isNotNull()
     return calls.withColumns({"prob_1": F.when(there, p1).otherwise(F.col("prob_1")), "prob_0": F.when(there, F.round(1 - p1, 6)).otherwise(F.col("prob_0")), "called_label": F.when(there, (p1 >= 0.5).cast("int")).otherwise(F.col("called_label"))})
+
+
+def calibrated_all(calls: DataFrame, usable: Column, scorer) -> DataFrame:
+    """All calls, those that are usable with calibrated probabilities and label, the others as they are.
+
+    ``scorer(windows)`` adds ``score`` to calls with their windows; ``usable`` is null or false for calls without a place, a read or a probability.
+    """
+    marked = calls.withColumn("_usable", F.coalesce(usable, F.lit(False)))
+    scored = rewrite(scorer(read_windows(marked.where("_usable"))), "score")
+    return scored.select(*calls.columns).unionByName(marked.where("not _usable").select(*calls.columns))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.blocks import blocked, with_halo
+from strandline.operators.ranks import placed
 from strandline.operators.skew import split_join
 
 BINS = 20
@@ -41,8 +42,8 @@ def site_counts(calls: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def sorted_sites(sites: DataFrame) -> DataFrame:
-    """Sites in the order of contig (by letters) and position (by number), for writing: partitions are ranges, sorted inside."""
-    return sites.orderBy("chrom", "pos")
+    """Sites with their ``place`` in the order of contig (by letters) and position (by number); partitions are ranges, sorted inside, for writing."""
+    return placed(sites, [F.col("chrom"), F.col("pos")])
 
 
 def check_counts(sites: DataFrame) -> DataFrame:

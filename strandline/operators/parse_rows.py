@@ -15,12 +15,13 @@ import csv
 import math
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.filters import contigs
 from strandline.session import spread
 
 BASES, PLACES = 21, 15
@@ -138,3 +139,25 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
 def reject_counts(lines: DataFrame) -> DataFrame:
     """Lines and rejects by file and reason, as a report of a load; ``reason`` is null for lines that parse."""
     return parse_lines(lines, values=False).groupBy("file_name", "reason").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def scoring_rows(lines: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
+    """Feature rows for scoring, by Spark's own columns: lines with at least twelve columns, of chosen contigs; labels are not needed.
+
+    Elements of arrays that are no numbers come out null; other lines are left out.
+    """
+    cut = F.split(F.regexp_replace("line_text", r"\s+$", ""), "\t")
+    numbers = lambda c: F.transform(F.split(c, ","), lambda x: x.try_cast("double"))
+    rows = lines.select("line_no", cut.alias("c")).where((F.size("c") >= 12) & (F.coalesce(F.length(F.get("c", F.lit(0))), F.lit(0)) > 0))
+    column = lambda i: F.get("c", F.lit(i))
+    typed = rows.select(
+        "line_no", column(0).alias("chrom"), column(1).try_cast("bigint").alias("pos"), column(2).alias("strand"), column(3).alias("pos_in_strand"), column(4).alias("readname"), column(5).alias("read_loc"), column(6).alias("k_mer"),
+        numbers(column(7)).alias("signal_means"), numbers(column(8)).alias("signal_stds"), F.transform(numbers(column(9)), lambda x: x.try_cast("int")).alias("signal_lens"), F.transform(F.split(column(10), ";"), numbers).alias("raw_signals"),
+    )
+    return contigs(typed, include, exclude)
+
+
+def with_repeated_values(rows: DataFrame, single: bool = False) -> DataFrame:
+    """Adds ``tags`` and ``gc_contents``: tag and GC content once per base, or as arrays of one element."""
+    repeated = lambda c: F.when(F.col(c).isNotNull(), F.array(c) if single else F.array_repeat(F.col(c), F.size("signal_lens")))
+    return rows.withColumns({"tags": repeated("tag"), "gc_contents": repeated("gc_content")})

@@ -11,40 +11,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.hashes import MASK, mixed, mixed_sql  # noqa: F401
 from strandline.session import cut, shuffle_partitions
 
 BUCKETS = 1 << 16
-#: Fixed values of the integer hash, which SQL engines can compute as well.
-_MULTIPLIER, _MASK = 73244475, 0xFFFFFFFF
-
-
-def mixed(number: Column, seed: int = 0) -> Column:
-    """A hash in 0..2^32-1 of a whole number, made of shifts and products that stay below 2^60."""
-    value = (number.bitwiseXOR(F.shiftright(number, 32)).bitwiseAND(_MASK) + seed).bitwiseAND(_MASK)
-    for _ in range(3):
-        value = (value.bitwiseXOR(F.shiftright(value, 16)) * F.lit(_MULTIPLIER).cast("bigint")).bitwiseAND(_MASK)
-    return value.bitwiseXOR(F.shiftright(value, 16))
-
-
-def mixed_sql(number: str, seed: int = 0) -> str:
-    """The SQL of :func:`mixed`."""
-    value = f"((xor({number}, {number} >> 32) & {_MASK}) + {seed}) & {_MASK}"
-    for _ in range(3):
-        value = f"list_transform([{value}], lambda h: (xor(h, h >> 16) * {_MULTIPLIER}) & {_MASK})[1]"
-    return f"list_transform([{value}], lambda h: xor(h, h >> 16))[1]"
-
-
 def hash_bucket(tie: Sequence[str], seed: int = 0, buckets: int = BUCKETS) -> Column:
     """The bucket of a row in hash order."""
     return _bucket(_hash(tie, seed), buckets)
 
 
 def _hash(tie: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(*tie, F.lit(seed)).bitwiseAND(_MASK)
+    return F.xxhash64(*tie, F.lit(seed)).bitwiseAND(MASK)
 
 
 def _bucket(order: Column, buckets: int) -> Column:
-    return F.floor(order * buckets / (_MASK + 1)).cast("int")
+    return F.floor(order * buckets / (MASK + 1)).cast("int")
 
 
 def with_running_total(frame: DataFrame, group: Sequence[str], tie: Sequence[str], amount: Column, seed: int = 0, buckets: int = BUCKETS, order: Column | None = None) -> DataFrame:
@@ -68,17 +49,22 @@ def with_rank(frame: DataFrame, group: Sequence[str], tie: Sequence[str], seed:
     return with_running_total(frame, group, tie, F.lit(1), seed, buckets, order).withColumn("rank", F.col("running_before") + 1).drop("running_before")
 
 
-def first_rows(frame: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
-    """The ``n`` first rows in the order of ``keys``, which tell rows apart; all if there are fewer.
+def placed(frame: DataFrame, keys: Sequence[Column], into: str = "place") -> DataFrame:
+    """Adds each row's place, from 0, in the order of ``keys``, which should tell rows apart.
 
-    Rows are sorted by range; the numbers of rows of the ranges (one count a partition) give each row its place,
-    so neither the driver nor one task ever holds the chosen rows.
+    Rows are sorted by range; the numbers of rows of the ranges (one count a partition) tell where each range begins,
+    so neither the driver nor one task ever holds all rows.
     """
     spark = frame.sparkSession
     ordered = frame.repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
     # sorted once and cut: ranges are drawn anew whenever they are computed
-    placed = cut(ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
-    counts = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    known = cut(ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_here", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    counts = known.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_pid").where(F.col("_start") + F.col("_place") < n).drop("_pid", "_place", "_start")
+    return known.join(F.broadcast(starts), "_pid").withColumn(into, F.col("_start") + F.col("_here")).drop("_pid", "_here", "_start")
+
+
+def first_rows(frame: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
+    """The ``n`` first rows in the order of ``keys``, which tell rows apart; all if there are fewer."""
+    return placed(frame, keys, "_place").where(F.col("_place") < n).drop("_place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.ranks import with_rank
+from strandline.operators.ranks import mixed, placed, with_rank
 from strandline.operators.skew import split_join
 from strandline.session import cut, shuffle_partitions
 
@@ -36,15 +36,42 @@ def balanced(negatives: DataFrame, positives: DataFrame, total: int | None = Non
     return matched.unionByName(random_rows(others, lacking, row_id, seed))
 
 
+def _random_order(rows: DataFrame, row_id: str, seed: int) -> Column | None:
+    """The integer hash of whole-number ids; other ids go by the engine's own hash."""
+    return mixed(F.col(row_id), seed) if rows.schema[row_id].dataType.typeName() in ("byte", "short", "integer", "long") else None
+
+
+def _ranked(rows: DataFrame, row_id: str, seed: int) -> DataFrame:
+    order = _random_order(rows, row_id, seed)
+    return with_rank(rows.withColumn("_all", F.lit(0)), ["_all"], [row_id], seed, order=order).drop("_all")
+
+
 def random_rows(rows: DataFrame, n: int, row_id: str = "row_id", seed: int = 1) -> DataFrame:
     """``n`` rows in a random but repeatable order (all if there are fewer)."""
-    return with_rank(rows.withColumn("_all", F.lit(0)), ["_all"], [row_id], seed).where(F.col("rank") <= n).drop("_all", "rank")
+    return _ranked(rows, row_id, seed).where(F.col("rank") <= n).drop("rank")
+
+
+def with_choice(rows: DataFrame, n: int, row_id: str = "row_id", seed: int = 1) -> DataFrame:
+    """Adds ``chosen``: true for ``n`` random rows, false for the remainder."""
+    return _ranked(rows, row_id, seed).withColumn("chosen", F.col("rank") <= n).drop("rank")
 
 
 def halves(rows: DataFrame, row_id: str = "row_id", seed: int = 1) -> DataFrame:
     """Adds ``half``: 0 or 1, of equal size up to one row, in random order."""
-    ranked = with_rank(rows.withColumn("_all", F.lit(0)), ["_all"], [row_id], seed)
-    return ranked.withColumn("half", (F.col("rank") % 2).cast("int")).drop("_all", "rank")
+    return _ranked(rows, row_id, seed).withColumn("half", (F.col("rank") % 2).cast("int")).drop("rank")
+
+
+def shuffled_concat(first: DataFrame, second: DataFrame, chunk: int = 2_000_000, row_id: str = "row_id", seed: int = 1) -> DataFrame:
+    """Both tables together, with ``chunk`` and ``place``: their rows in the order of ids are taken chunk by chunk, from the second in proportion, and shuffled inside a chunk.
+
+    An empty first table leaves the second in one chunk.
+    """
+    one, two = placed(first, [F.col(row_id)], "_at"), placed(second, [F.col(row_id)], "_at")
+    n, m = one.count(), two.count()
+    size = round(m / n * chunk) + 1 if n else max(m, 1)
+    both = one.withColumn("chunk", F.floor(F.col("_at") / chunk)).unionByName(two.withColumn("chunk", F.floor(F.col("_at") / size)))
+    order = _random_order(first, row_id, seed)
+    return placed(both.drop("_at"), [F.col("chunk"), F.xxhash64(row_id, F.lit(seed)) if order is None else order, F.col(row_id)])
 
 
 def shuffled(rows: DataFrame, row_id: str = "row_id", seed: int = 1) -> DataFrame:
@@ -70,24 +97,44 @@ def kept_ratio(rows: DataFrame, kept: DataFrame, label: str = "label") -> DataFr
     return before.join(after, label, "left").select(label, "n_rows", F.coalesce("n_kept", F.lit(0)).alias("n_kept"), F.round(F.coalesce("n_kept", F.lit(0)) / F.col("n_rows"), 6).alias("ratio"))
 
 
-def denoise(rows: DataFrame, scorer, rounds: int = 3, iterations: int = 10, least: float = 0.5, enough: float = 0.99, seed: int = 1) -> DataFrame:
-    """Label cleaning: each round halves the rows at random and scores each half by a model of the other.
+def kmer_scorer(train: DataFrame, test: DataFrame, kmer: str = "kmer", label: str = "label") -> DataFrame:
+    """``row_id, prob``: the share of label 1 among the training rows of the same k-mer, drawn to one half by one row of either label. Unknown k-mers have 0.5."""
+    shares = train.groupBy(kmer).agg(((F.count_if(F.col(label) == 1) + 1) / (F.count(F.lit(1)) + 2)).alias("_share"))
+    return split_join(test, shares, kmer, "left").select("row_id", F.coalesce("_share", F.lit(0.5)).alias("prob"))
+
+
+def round_scores(rows: DataFrame, scorer, rounds: int = 3, seed: int = 1) -> DataFrame:
+    """``row_id, prob``: each round halves the rows at random and scores each half by a model of the other."""
+    scores = None
+    for r in range(rounds):
+        parts = cut(halves(rows, seed=seed + r))
+        a, b = parts.where("half = 0").drop("half"), parts.where("half = 1").drop("half")
+        both = scorer(a, b).select("row_id", "prob").unionByName(scorer(b, a).select("row_id", "prob"))
+        scores = both if scores is None else scores.unionByName(both)
+    return cut(scores)
+
+
+def denoise(rows: DataFrame, scorer, rounds: int = 3, iterations: int = 10, least: float = 0.5, enough: float = 0.99, seed: int = 1, negatives: bool = True, balance: str | None = None) -> DataFrame:
+    """Label cleaning: scores come from :func:`round_scores`; rows that disagree with their mean score go, until few do.
 
-    ``scorer(train, test) -> row_id, prob``. After the rounds, rows that disagree with their mean score go. Stops when the
-    mean share kept over both labels reaches ``enough``. Every iteration is cut in the checkpoint folder.
+    ``scorer(train, test) -> row_id, prob``. ``negatives`` tells whether rows of label 0 are judged as well. With ``balance``, the name of a k-mer column,
+    the next iteration's rows of label 0 are chosen from those that are left (of all first ones, if they are not judged) as :func:`balanced` does, as many as there are
+    of label 1; if fewer are left they all stay. Stops when the mean share kept over the judged labels reaches ``enough`` or no row of label 1 is left. Every iteration is cut.
     """
-    current = cut(rows)
+    start = current = cut(rows)
     for i in range(iterations):
-        scores = None
-        for r in range(rounds):
-            parts = cut(halves(current, seed=seed + 1000 * i + r))
-            a, b = parts.where("half = 0").drop("half"), parts.where("half = 1").drop("half")
-            both = scorer(a, b).select("row_id", "prob").unionByName(scorer(b, a).select("row_id", "prob"))
-            scores = both if scores is None else scores.unionByName(both)
-        kept = cut(cleaned(current, cut(scores), least=least))
-        ratio = kept_ratio(current, kept).agg(F.avg("ratio")).first()[0]
-        current = kept.select(*rows.columns)
-        if ratio is None or ratio >= enough:
+        kept = cleaned(current, round_scores(current, scorer, rounds, seed + 1000 * i), least=least).select(*rows.columns)
+        kept = cut(kept if negatives else kept.where("label = 1").unionByName(current.where("label <> 1")))
+        judged = lambda f: f if negatives else f.where("label = 1")
+        ratio = kept_ratio(judged(current), judged(kept)).agg(F.avg("ratio")).first()[0]
+        current = kept
+        if balance:
+            positives, left = kept.where("label = 1"), (kept if negatives else start).where("label = 0")
+            n = positives.count()
+            if n and n <= left.count():
+                left = balanced(left, positives, n, balance, seed=seed + i).select(*rows.columns)
+            current = cut(positives.unionByName(left)) if n else positives
+        if ratio is None or ratio >= enough or current.isEmpty():
             break
     return current
 
