@@ -21,12 +21,19 @@ def prefix_sums(values: Column, levels: int = 3) -> Column:
 
     Arrays are cut into chunks whose sums are summed in the same way, so the work follows the length up to ``CHUNK ** (levels + 1)`` elements.
     """
+    return let(values, lambda v: _summed(v, levels))
+
+
+def _summed(values: Column, levels: int) -> Column:
+    """The same of an array that is a variable; naming an expression here would compute it anew for every element."""
+    zero = F.lit(0).cast("bigint")
     if levels == 0:
-        return _copied(values, F.lit(0).cast("bigint"))
+        return _copied(values, zero)
     starts = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
-    parts = F.transform(starts, lambda s: F.slice(values, s + 1, F.lit(CHUNK)))
-    sums = lambda p: F.transform(p, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, v: a + v))
-    return let(parts, lambda p: F.flatten(F.zip_with(p, prefix_sums(sums(p), levels - 1), _copied)))
+    parts = F.transform(starts, lambda s: F.transform(F.sequence(s, F.least(s + CHUNK, F.size(values)) - 1), lambda j: F.get(values, j)))  # a slice would copy the whole array
+    sums = lambda p: F.transform(p, lambda x: F.aggregate(x, zero, lambda a, v: a + v))
+    long = let(parts, lambda p: let(sums(p), lambda t: F.flatten(F.zip_with(p, _summed(t, levels - 1), _copied))))
+    return F.when(F.size(values) <= CHUNK, _copied(values, zero)).otherwise(long)
 
 
 def _copied(values: Column, start: Column) -> Column:

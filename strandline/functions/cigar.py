@@ -34,19 +34,26 @@ def stretches(cigar: Column, reverse: Column) -> Column:
 
 def query_to_reference(cigar: Column, reverse: Column) -> Column:
     """For each aligned letter of the read its place on the reference from 0, -1 if inserted; then the place behind the last."""
+    return let(stretches(cigar, reverse), places_of)
 
-    def letters(done: Column) -> Column:
-        kept = F.filter(done, lambda s: (s["kind"] != 2) & (s["len"] > 0))
-        end = F.coalesce(let(F.element_at(done, -1), lambda s: s["r"] + F.when(s["kind"] == 1, 0).otherwise(s["len"])), F.lit(0))
-        each = F.flatten(F.transform(kept, lambda s: F.when(s["kind"] == 1, F.array_repeat(F.lit(-1), s["len"])).otherwise(F.sequence(s["r"], s["r"] + s["len"] - 1))))
-        return F.when(F.size(done) > 0, F.concat(each, F.array(end))).otherwise(F.array(F.lit(0)))
 
-    return let(stretches(cigar, reverse), letters)
+def places_of(done: Column) -> Column:
+    """The same from :func:`stretches`."""
+    kept = F.filter(done, lambda s: (s["kind"] != 2) & (s["len"] > 0))
+    last = F.element_at(done, -1)
+    end = last["r"] + F.when(last["kind"] == 1, 0).otherwise(last["len"])
+    each = F.flatten(F.transform(kept, lambda s: F.when(s["kind"] == 1, F.array_repeat(F.lit(-1), s["len"])).otherwise(F.sequence(s["r"], s["r"] + s["len"] - 1))))
+    return F.when(F.size(done) > 0, F.concat(each, F.array(end))).otherwise(F.array(F.lit(0)))
 
 
 def reference_to_query(cigar: Column, reverse: Column) -> Column:
     """For each letter of the reference its place in the read; deleted ones repeat the place that comes next."""
-    kept = F.filter(stretches(cigar, reverse), lambda s: (s["kind"] != 1) & (s["len"] > 0))
+    return let(stretches(cigar, reverse), places_back)
+
+
+def places_back(done: Column) -> Column:
+    """The same from :func:`stretches`."""
+    kept = F.filter(done, lambda s: (s["kind"] != 1) & (s["len"] > 0))
     return F.flatten(F.transform(kept, lambda s: F.when(s["kind"] == 2, F.array_repeat(s["q"], s["len"])).otherwise(F.sequence(s["q"], s["q"] + s["len"] - 1))))
 
 

@@ -2,63 +2,25 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
 
-from strandline.functions.arrays import let, prefix_sums
-from strandline.functions.seq import motif_sites
-
-
-@pandas_udf(ArrayType(IntegerType()))
-def _c_gaps(seqs: pd.Series, places: pd.Series) -> pd.Series:
-    """Cs between one place and the next, from one count of all Cs of a sequence; null if some place is not a C."""
-    out = []
-    for seq, at in zip(seqs, places):
-        if seq is None or at is None:
-            out.append(None)
-            continue
-        is_c = np.frombuffer(seq.encode("ascii", "replace"), np.uint8) == ord("C")
-        at = np.asarray(at, np.int64)
-        if len(at) and (at.min() < 0 or at.max() >= len(is_c) or not is_c[at].all()):
-            out.append(None)
-            continue
-        out.append(np.diff(np.cumsum(is_c)[at], prepend=0).astype(np.int32) - 1)
-    return pd.Series(out)
-
-
-def near_letter(seq: Column, places: Column, reach: int, letter: str = "C") -> Column:
-    """For each place 1 if the letter stands at another one within ``reach``, else 0."""
-
-    @pandas_udf(ArrayType(IntegerType()))
-    def near(seqs: pd.Series, at: pd.Series) -> pd.Series:
-        out = []
-        for s, p in zip(seqs, at):
-            if s is None or p is None:
-                out.append(None)
-                continue
-            is_letter = np.frombuffer(s.encode("ascii", "replace"), np.uint8) == ord(letter)
-            before = np.concatenate([[0], np.cumsum(is_letter)])
-            p = np.asarray(p, np.int64)
-            around = before[np.minimum(p + reach + 1, len(is_letter))] - before[np.maximum(p - reach, 0)]
-            out.append((around > is_letter[p]).astype(np.int32))
-        return pd.Series(out)
-
-    return near(seq, places)
+from strandline.functions.kernels import gaps_between, places_after_gaps
 
 
 def skips(seq: Column, places: Column) -> Column:
     """Cs between one called C and the next; null if some place is not a C. ``places`` are sorted, from 0."""
-    return _c_gaps(seq, places)
+    return gaps_between("C")(seq, places)
+
+
+def tag_of(skipped: Column) -> Column:
+    """The MM tag of skips; empty without any, null for null."""
+    return F.when(F.size(skipped) == 0, F.lit("")).otherwise(F.concat(F.lit("C+m?,"), F.array_join(F.transform(skipped, lambda x: x.cast("string")), ","), F.lit(";")))
 
 
 def mm_tag(seq: Column, places: Column) -> Column:
     """The MM tag; null if a place is not a C, empty without places."""
-    s = skips(seq, places)
-    return F.when(F.size(places) == 0, F.lit("")).otherwise(F.concat(F.lit("C+m?,"), F.array_join(F.transform(s, lambda x: x.cast("string")), ","), F.lit(";")))
+    return tag_of(skips(seq, places))
 
 
 def ml_tag(probabilities: Column) -> Column:
@@ -67,9 +29,5 @@ def ml_tag(probabilities: Column) -> Column:
 
 
 def called_places(seq: Column, mm: Column) -> Column:
-    """The places an MM tag names."""
-    gaps = F.transform(F.filter(F.split(F.regexp_extract(mm, r"^C\+m\?,([\d,]*);", 1), ","), lambda x: x != ""), lambda x: x.cast("int"))
-    steps = F.transform(gaps, lambda g: (g + 1).cast("bigint"))
-    ordinals = let(steps, lambda x: F.zip_with(prefix_sums(x), x, lambda before, own: (before + own - 1).cast("int")))
-    both = F.array(F.struct(motif_sites(seq, ["C"]).alias("cs"), ordinals.alias("picked")))  # computed once, not per place
-    return F.transform(both, lambda x: F.transform(x["picked"], lambda o: F.element_at(x["cs"], o + 1)))[0]
+    """The places an MM tag names; null if it names more Cs than there are."""
+    return places_after_gaps("C")(seq, F.regexp_extract(mm, r"^C\+m\?,([\d,]*);", 1))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandline.functions.arrays import chunks, let
+from strandline.functions.kernels import letters_around
 
 #: Letters of nucleotides and sets of nucleotides, in the order of their codes, and their complements.
 ALPHABET = "ACGTNWSMKRYBVDHZ"
@@ -37,7 +38,8 @@ def motif_sites(seq: Column, motifs: list[str], offset: int = 0) -> Column:
     The sequence is cut into pieces that overlap by all but one letter of a motif, so the work follows its length.
     """
     found = F.transform(chunks(seq, PIECE, len(motifs[0]) - 1), lambda piece, k: F.transform(_sites_in_piece(piece, motifs), lambda i: i + k * PIECE + offset))
-    return F.flatten(found)
+    short = _sites_in_piece(seq, motifs)
+    return F.when(F.length(seq) <= PIECE, F.transform(short, lambda i: i + offset) if offset else short).otherwise(F.flatten(found))
 
 
 def _sites_in_piece(piece: Column, motifs: list[str]) -> Column:
@@ -62,9 +64,9 @@ def centre(seq: Column, length: int = 5) -> Column:
 
 def proximity(places: Column, reach: int = PROXIMITY) -> Column:
     """For each of sorted places 1 if another one lies within ``reach``, else 0: the nearest on either side tells."""
-    n = F.size(places)
 
     def near(p: Column) -> Column:
+        n = F.size(p)
         far = F.lit(reach + 1)
         gap = lambda i, j: F.when((i >= 0) & (j < n), F.get(p, j) - F.get(p, i)).otherwise(far)
         return F.transform(p, lambda _, i: (F.least(gap(i - 1, i), gap(i, i + 1)) <= reach).cast("int"))
@@ -72,16 +74,6 @@ def proximity(places: Column, reach: int = PROXIMITY) -> Column:
     return let(places, near)
 
 
-def gc_shares(seq: Column, motifs: list[str], reach: int = 50) -> Column:
-    """For each motif's place the G and C letters around it, out of 2 * reach whatever is there.
-
-    Windows run from ``reach`` letters before the place to ``reach`` behind it. They are taken from overlapping pieces, not from the whole sequence.
-    """
-
-    def shares(piece: Column, k: Column) -> Column:
-        first, last = F.when(k == 0, 0).otherwise(reach), PIECE + reach
-        own = F.filter(_sites_in_piece(piece, motifs), lambda i: (i >= first) & (i < last))
-        around = lambda i: F.substring(piece, F.greatest(i - reach, F.lit(0)) + 1, i + reach - F.greatest(i - reach, F.lit(0)))
-        return F.transform(own, lambda i: F.length(F.regexp_replace(around(i), "[^GC]", "")) / (2.0 * reach))
-
-    return F.flatten(F.transform(chunks(seq, PIECE, 2 * reach + len(motifs[0]) - 1), shares))
+def gc_shares(seq: Column, motif: str = "CG", reach: int = 50) -> Column:
+    """For each place of a motif the G and C letters from ``reach`` before it to ``reach`` behind it, out of 2 * reach whatever is there."""
+    return letters_around(motif, "GC", reach)(seq)

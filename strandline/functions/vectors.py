@@ -17,7 +17,3 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
-
-def softmax_one(p0: Column, p1: Column) -> Column:
-    """Probability of the second of two logits."""
-    return 1 / (1 + F.exp(p0 - p1))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import cigar, modtags, seq, signal
 from strandline.functions.arrays import chunks
+from strandline.functions.kernels import near_letter
 from strandline.operators import filters
 from strandline.operators.skew import split_join
 
@@ -90,7 +91,7 @@ def site_windows(reads: DataFrame, settings: Settings = Settings()) -> DataFrame
     lift = F.when(F.col("is_mapped"), cigar.query_to_reference(F.col("cigar"), F.col("is_reverse")))
     ready = reads.where("status = 'ok'").withColumns({"bounds": signal.bounds(F.col("moves"), F.col("stride"), F.size("scaled")), "lift": lift, "pieces": chunks(F.col("forward"), seq.PIECE, settings.kmer)})
     found = ready.withColumn("places", seq.motif_sites(F.col("forward"), seq.expand(settings.motifs), settings.mod_loc))
-    tags = modtags.near_letter(F.col("forward"), F.col("places"), seq.PROXIMITY) if settings.any_c else seq.proximity(F.col("places"))
+    tags = near_letter("C", seq.PROXIMITY)(F.col("forward"), F.col("places")) if settings.any_c else seq.proximity(F.col("places"))
     sites = found.withColumn("tags", tags).withColumn("sites", _sites(settings))
     ref_end = F.col("ref_start") + F.col("ref_length")
     rows = sites.select("read_id", "chrom", "is_mapped", "is_reverse", "ref_start", ref_end.alias("ref_end"), F.explode(F.transform("sites", lambda s: _window(s, settings))).alias("w"))

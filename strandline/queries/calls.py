@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import calib, filters, freq
-from strandline.session import table
+from strandline.session import maybe_broadcast, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 INCLUDED, EXCLUDED = ["chr1", "chr5", "chrM", "chr9"], ["chr9"]
@@ -124,7 +124,14 @@ def call_union(spark: SparkSession, d: str) -> DataFrame:
     """Calls of early and late loads together, counted by load."""
     calls = table(spark, d, "calls")
     both = calls.where("load_id <= 4").unionByName(calls.where("load_id > 4"))
-    return both.join(F.broadcast(table(spark, d, "loads").select("load_id", "file_name")), "load_id").groupBy("file_name").agg(F.count(F.lit(1)).alias("n_calls"))
+    return both.join(maybe_broadcast(table(spark, d, "loads").select("load_id", "file_name")), "load_id").groupBy("file_name").agg(F.count(F.lit(1)).alias("n_calls"))
+
+
+def site_union(spark: SparkSession, d: str) -> DataFrame:
+    """Sites of calls, features and listed positions together: how many rows each table has of them."""
+    named = lambda name: table(spark, d, name).select("chrom", "pos", F.lit(name).alias("t")).dropna()
+    both = named("calls").unionByName(named("features")).unionByName(named("positions"))
+    return both.groupBy("chrom", "pos").agg(*[F.count_if(F.col("t") == name).alias(f"n_{name}") for name in ("calls", "features", "positions")])
 
 
 QUERIES: dict[str, Query] = {
@@ -132,7 +139,7 @@ QUERIES: dict[str, Query] = {
     for q in (
         call_freq_count, call_freq_bed, call_usage_ratio, ambiguous_filter, site_majority_strand, site_histogram, site_histogram_norm, anchor_rank, anchor_neighbours, anchor_windows, read_features, read_windows, calibrated_calls,
         site_histogram_norm_cov4, anchor_rank_cov4, anchor_neighbours_cov4, anchor_windows_cov4,
-        chrom_include_exclude, positions_semi, read_overlap, call_union,
+        chrom_include_exclude, positions_semi, read_overlap, call_union, site_union,
     )
 }
 
@@ -182,6 +189,8 @@ select row_id, round(p + 1e-8, 4) as prob_1, (p >= 0.5)::int as called_label fro
     "positions_semi": f"with {USABLE} select row_id, chrom, pos, strand from u where exists (select 1 from positions p where p.chrom = u.chrom and p.pos = u.pos and p.strand = u.strand)",
     "read_overlap": """with a as (select distinct readname from calls where readname is not null), b as (select distinct readname from features where readname is not null)
 select (select count(*) from a) as n_left, (select count(*) from b) as n_right, (select count(*) from a join b using (readname)) as n_both, round((select count(*) from a join b using (readname)) / (select count(*) from a)::double, 6) as share""",
+    "site_union": """with a as (select chrom, pos, 'c' as t from calls union all select chrom, pos, 'f' from features union all select chrom, pos, 'p' from positions)
+select chrom, pos, count(*) filter (t = 'c') as n_calls, count(*) filter (t = 'f') as n_features, count(*) filter (t = 'p') as n_positions from a where chrom is not null and pos is not null group by 1, 2""",
     "call_union": "select file_name, count(*) as n_calls from calls join loads using (load_id) group by 1",
 }
 

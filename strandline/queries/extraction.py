@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import seq
+from strandline.functions import cigar, seq
+from strandline.operators import filters
 from strandline.plans import extract
-from strandline.session import table
+from strandline.session import spread, table
 from strandline.sources import sam
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,7 @@ def _reads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     contigs = table(spark, d, "contigs").select("contig", "seq", "length", F.row_number().over(Window.orderBy("contig")).alias("k"))  # a fixed, small table
     n_contigs = contigs.count()
     moves = F.transform(F.sequence(F.lit(0), F.lit(MOVES - 1)), lambda i: F.when((i == 0) | (F.pmod(i * 7 + v, F.lit(3)) != 0), 1).otherwise(0))
-    rows = table(spark, d, "embeddings").withColumn("k", v % n_contigs + 1).join(F.broadcast(contigs), "k").withColumn("moves", moves)
+    rows = spread(table(spark, d, "embeddings").select("vec_id", "embedding")).withColumn("k", v % n_contigs + 1).join(F.broadcast(contigs), "k").withColumn("moves", moves)
     n = F.aggregate("moves", F.lit(0), lambda a, m: a + m)
     start = v * 37 % (F.col("length") - 64)
     rows = rows.withColumns({"n": n, "start": start}).withColumn("letters", F.upper(F.substring("seq", (F.col("start") + 1).cast("int"), F.col("n"))))
@@ -85,7 +86,17 @@ def tagged_sam(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("line")
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (extract_features, extract_at_positions, read_status, tagged_reads, tagged_sam)}
+def cigar_lift_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Each mapped read's lifted places as a sum weighted by letter, over as many CIGARs as the reads have."""
+    mapped = _reads(spark, d)[1].where(~filters.is_unmapped(F.col("flag")))
+    places = cigar.query_to_reference(F.col("cigar"), filters.is_reverse(F.col("flag")))
+    back = cigar.reference_to_query(F.col("cigar"), filters.is_reverse(F.col("flag")))
+    rows = mapped.select("read_id", "cigar", places.alias("places"), back.alias("back"))
+    total = lambda a: F.aggregate(F.transform(a, lambda x, i: (x * (i + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return rows.select("read_id", "cigar", F.size("places").alias("n_places"), total("places").alias("place_mix"), F.size("back").alias("n_back"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (extract_features, extract_at_positions, read_status, tagged_reads, tagged_sam, cigar_lift_reads)}
 
 _E = """c as (select contig, upper(seq) as seq, length, row_number() over (order by contig) as k from contigs),
 mv as (select vec_id, i, row_number() over (partition by vec_id order by i) - 1 as base, coalesce(lead(i) over (partition by vec_id order by i), 28) as stop from embeddings, (select unnest(range(28)) as i) where i = 0 or (i * 7 + vec_id) % 3 <> 0),
@@ -119,6 +130,10 @@ x as (select kept.vec_id, loc, sum(((base - loc + 2) * 3 + place + 1) * z) as ra
 select chrom, pos::bigint as pos, strand, (case when strand = '-' then length - 1 - pos else pos end)::bigint::varchar as pos_in_strand, 'r' || kept.vec_id as readname, kept.loc::int as loc, substr(letters, (kept.loc - 1)::bigint, 5) as k_mer,
   round(means, 4) as signal_means_mix, round(stds, 4) as signal_stds_mix, round(lens, 4) as signal_lens_mix, round(raw, 4) as raw_signals_mix, tag from kept join w on w.vec_id = kept.vec_id and w.loc = kept.loc join x on x.vec_id = kept.vec_id and x.loc = kept.loc""",
     "extract_at_positions": f"""with {_E} select chrom, pos::bigint as pos, strand, 'r' || vec_id as readname, loc::int as loc from kept where strand <> '.' and exists (select 1 from positions o where o.chrom = kept.chrom and o.pos = kept.pos)""",
+    "cigar_lift_reads": f"""with {_E}, y as (select vec_id, n, a, b, ins, e, x, flag, n - a - b - ins - e as f, unnest(range(0, n - a)) as j from r where flag <> 4),
+z as (select *, case when flag = 16 then case when j < f then j when j < f + e then j + x when j < f + e + ins then -1 else j + x - ins end else case when j < b then j when j < b + ins then -1 when j < b + ins + e then j - ins else j - ins + x end end as rpos from y)
+select 'r' || vec_id as read_id, concat(case when a > 0 then a || 'S' else '' end, b || 'M', case when ins > 0 then ins || 'I' else '' end, e || 'M', case when x > 0 then x || 'D' else '' end, f || 'M') as cigar,
+  (n - a + 1)::int as n_places, (sum(rpos * (j + 1)) + (n - a + 1) * (b + e + x + f))::bigint as place_mix, (b + e + x + f)::int as n_back from z group by vec_id, n, a, b, ins, e, x, f""",
     "read_status": f"with {_E} select status, count(*) as n_reads from s group by 1",
     "tagged_reads": f"""with {_E}, cs as (select vec_id, loc, row_number() over (partition by vec_id order by loc) - 1 as k from (select vec_id, unnest(range(0, n)) as loc, letters from ok) where substr(letters, loc + 1, 1) = 'C'),
 o as (select kept.vec_id, kept.loc, cs.k - coalesce(lag(cs.k) over (partition by kept.vec_id order by kept.loc), -1) - 1 as skip, least(255, floor((kept.vec_id * 7919 + kept.loc * 104729) % 1000001 / 1e6::double * 256))::int as ml from kept join cs on cs.vec_id = kept.vec_id and cs.loc = kept.loc),

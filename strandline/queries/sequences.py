@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.functions import arrays, cigar, modtags, seq, signal, vectors
 from strandline.operators import filters, training
 from strandline.operators.spectrum import spectrum
-from strandline.session import table
+from strandline.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 CHUNK = 1 << 14
@@ -21,7 +21,7 @@ CHUNK = 1 << 14
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
+    return spread(table(spark, d, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
 
 
 _S = """s as (select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as seq from documents where text is not null),
@@ -44,23 +44,26 @@ def revcomp(spark: SparkSession, d: str) -> DataFrame:
     return _sequences(spark, d).select("doc_id", F.md5(seq.reverse_complement(F.col("seq"))).alias("revcomp_md5"))
 
 
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    return _sequences(spark, d).select("doc_id", "seq", seq.motif_sites(F.col("seq"), ["CG"]).alias("places"))
+
+
 def proximity_tag(spark: SparkSession, d: str) -> DataFrame:
     """Sites with another one within ten letters."""
-    sites = _sequences(spark, d).select("doc_id", seq.motif_sites(F.col("seq"), ["CG"]).alias("all"))
-    return sites.where(F.size("all") > 0).select("doc_id", F.size("all").alias("n_sites"), F.aggregate(seq.proximity(F.col("all")), F.lit(0), lambda a, x: a + x).alias("n_near"))
+    near = _sites(spark, d).select("doc_id", F.size("places").alias("n_sites"), F.aggregate(seq.proximity(F.col("places")), F.lit(0), lambda a, x: a + x).alias("n_near"))
+    return near.where("n_sites > 0")
 
 
 def gc_content(spark: SparkSession, d: str) -> DataFrame:
-    shares = _sequences(spark, d).select("doc_id", seq.gc_shares(F.col("seq"), ["CG"]).alias("gc")).where(F.size("gc") > 0)
+    shares = _sequences(spark, d).where(F.contains("seq", F.lit("CG"))).select("doc_id", seq.gc_shares(F.col("seq")).alias("gc"))
     return shares.select("doc_id", F.round(F.aggregate("gc", F.lit(0.0), lambda a, x: a + x), 4).alias("gc_sum"))
 
 
 def mm_skips(spark: SparkSession, d: str) -> DataFrame:
     """Cs skipped between called ones, and whether the tag names the called places again."""
-    called = _sequences(spark, d).select("doc_id", "seq", seq.motif_sites(F.col("seq"), ["CG"]).alias("places")).where(F.size("places") > 0)
-    tagged = called.withColumn("mm", modtags.mm_tag(F.col("seq"), F.col("places")))
-    back = modtags.called_places(F.col("seq"), F.col("mm"))
-    return tagged.select("doc_id", F.size("places").alias("n_sites"), F.aggregate(modtags.skips(F.col("seq"), F.col("places")), F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_skipped"), (back == F.col("places")).alias("is_same"))
+    tagged = _sites(spark, d).where(F.size("places") > 0).withColumn("skips", modtags.skips(F.col("seq"), F.col("places"))).withColumn("mm", modtags.tag_of(F.col("skips")))
+    back = tagged.withColumn("back", modtags.called_places(F.col("seq"), F.col("mm")))
+    return back.select("doc_id", F.size("places").alias("n_sites"), F.aggregate("skips", F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_skipped"), (F.col("back") == F.col("places")).alias("is_same"))
 
 
 def ml_quantise(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +154,7 @@ def _alignments(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
     flag = F.when(key % 5 == 0, 16).when(key % 5 == 1, 256).when(key % 5 == 2, 4).otherwise(0)
     text = F.when(key % 4 == 0, "100M").when(key % 4 == 1, "40M5I55M").when(key % 4 == 2, "40M5D60M").otherwise("10S90M")
-    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("r"), F.col("o_custkey") % 500).alias("read_id"), flag.alias("flag"), (F.col("o_custkey") % 60).cast("int").alias("mapq"), (F.col("o_custkey") % 20).cast("int").alias("nm"), text.alias("cigar"))
+    rows = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", F.concat(F.lit("r"), F.col("o_custkey") % 500).alias("read_id"), flag.alias("flag"), (F.col("o_custkey") % 60).cast("int").alias("mapq"), (F.col("o_custkey") % 20).cast("int").alias("nm"), text.alias("cigar"))
     start = F.when(key % 4 == 3, 10).otherwise(0)
     return rows.withColumns({"query_length": F.lit(100), "aligned_start": start, "aligned_end": F.lit(100)})
 
@@ -173,10 +176,10 @@ def pct_identity(spark: SparkSession, d: str) -> DataFrame:
 def cigar_lift(spark: SparkSession, d: str) -> DataFrame:
     """Each read's lifted places, summed with weights by letter, forward or reverse as it is aligned."""
     primary = _alignments(spark, d).where(filters.is_primary(F.col("flag")) & ~filters.is_unmapped(F.col("flag")))
-    places = cigar.query_to_reference(F.col("cigar"), filters.is_reverse(F.col("flag")))
-    back = cigar.reference_to_query(F.col("cigar"), filters.is_reverse(F.col("flag")))
     total = lambda a: F.aggregate(F.transform(a, lambda x, i: (x * (i + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return primary.select("o_orderkey", F.size(places).alias("n_places"), total(places).alias("place_mix"), F.size(back).alias("n_back"))
+    steps = primary.select("o_orderkey", cigar.stretches(F.col("cigar"), filters.is_reverse(F.col("flag"))).alias("steps"))
+    lifted = steps.select("o_orderkey", cigar.places_of(F.col("steps")).alias("places"), cigar.places_back(F.col("steps")).alias("back"))
+    return lifted.select("o_orderkey", F.size("places").alias("n_places"), total("places").alias("place_mix"), F.size("back").alias("n_back"))
 
 
 def signal_alignment_join(spark: SparkSession, d: str) -> DataFrame:

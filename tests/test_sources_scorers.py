@@ -99,7 +99,7 @@ def test_long_arrays_and_texts(spark):
     text = "".join(random.Random(3).choice("ACGT") for _ in range(50_000))
     sites = [i for i in range(len(text) - 1) if text[i : i + 2] == "CG"]
     row = spark.createDataFrame([(text, sites)], "s string, p array<int>").select(
-        seq.motif_sites(F.col("s"), ["CG"]), modtags.skips(F.col("s"), F.col("p")), modtags.called_places(F.col("s"), modtags.mm_tag(F.col("s"), F.col("p"))), seq.proximity(F.col("p")), seq.gc_shares(F.col("s"), ["CG"])
+        seq.motif_sites(F.col("s"), ["CG"]), modtags.skips(F.col("s"), F.col("p")), modtags.called_places(F.col("s"), modtags.mm_tag(F.col("s"), F.col("p"))), seq.proximity(F.col("p")), seq.gc_shares(F.col("s"))
     ).first()
     assert list(row[0]) == sites and list(row[2]) == sites
     assert list(row[1]) == [text.count("C", (sites[i - 1] + 1) if i else 0, s) for i, s in enumerate(sites)]
