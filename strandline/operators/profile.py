@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.session import cut, shuffle_partitions
+from strandline.session import cut, maybe_broadcast, shuffle_partitions
 
 NULL_LIMIT, VIOLATION_LIMIT, DRIFT_LIMIT = 0.05, 0.03, 0.2
 
@@ -169,7 +169,7 @@ def profile(frame: DataFrame, load: str, columns: Sequence[Profiled], quantiles:
     spark = frame.sparkSession
     counts = cut(value_counts(frame, load, columns))
     summary = cut(_summary(counts))
-    good = counts.where("good").select("column", "load", "num", "txt", "n").join(summary.select("column", "load", "place", "n_good"), ["column", "load"])
+    good = counts.where("good").select("column", "load", "num", "txt", "n").join(maybe_broadcast(summary.select("column", "load", "place", "n_good")), ["column", "load"])
     ordered = good.repartitionByRange(shuffle_partitions(spark), "column", "num", "txt").sortWithinPartitions("column", "num", "txt")
     if quantiles:
         ordered = cut(ordered.withColumn("pid", F.spark_partition_id()))

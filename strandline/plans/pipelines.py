@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import seq
 from strandline.operators import calib, freq
 from strandline.operators.skew import split_join
+from strandline.plans import extract
 from strandline.scorers import hte, models
 from strandline.scorers.layers import Weights
 from strandline.session import spread
+from strandline.sources import text
 
 
 def site_frequencies(calls: DataFrame, weights: Weights, min_coverage: int = freq.MIN_COVERAGE) -> DataFrame:
@@ -41,6 +43,29 @@ def calibrated(calls: DataFrame, weights: Weights) -> DataFrame:
     return calib.rewrite(scored, "score").drop("score")
 
 
+def calibrated_lines(spark: SparkSession, paths: list[str], scorer, name_part: str = "") -> DataFrame:
+    """``row_id, value``: the lines of call files with calibrated probabilities and label; lines that do not parse pass through as they are.
+
+    ``scorer(windows)`` adds ``score``. Row ids follow files and lines, so sorting by them gives the order of the input.
+    """
+    rows = text.read_calls(spark, paths, name_part)
+    scored = calib.rewrite(scorer(calib.read_windows(rows.where("reject is null"))), "score")
+    return scored.select("row_id", text.call_line().alias("value")).unionByName(rows.where("reject is not null").select("row_id", F.col("raw").alias("value")))
+
+
+def called_reads(signals: DataFrame, alignments: DataFrame, scorer, settings: extract.Settings = extract.Settings(), positions: DataFrame | None = None) -> DataFrame:
+    """Calls from signals and alignments: features of all sites, scored by ``scorer(features) -> row_id, prob_0, prob_1, called_label, k_mer``.
+
+    Places without a sample are NaN, for scorers that mask them. A site is known by its read, contig, place and strand, whose hash is the row id
+    of its features; the scores meet their sites by it.
+    """
+    rows = extract.features(signals, alignments, settings, positions=positions, padding=float("nan"))
+    keyed = rows.withColumn("row_id", F.xxhash64("readname", "chrom", "pos", "strand", "loc"))
+    scored = scorer(keyed).select("row_id", "prob_0", "prob_1", "called_label", F.col("k_mer").alias("_centre"))
+    sites = keyed.select("row_id", "chrom", "pos", "strand", "pos_in_strand", "readname", "read_loc", "loc")
+    return sites.join(scored, "row_id").select("chrom", "pos", "strand", "pos_in_strand", "readname", "read_loc", "prob_0", "prob_1", "called_label", F.col("_centre").alias("k_mer"), "loc")
+
+
 def _shaped(features: DataFrame) -> DataFrame:
     """Rows whose k-mer and arrays have the models' shape, with letter codes and the middle of the k-mer."""
     whole = (F.size("signal_means") == 21) & (F.size("signal_stds") == 21) & (F.size("signal_lens") == 21) & (F.size("raw_signals") == 21) & F.forall("raw_signals", lambda r: F.size(r) == 15)

@@ -72,10 +72,15 @@ def site_lines(sites: DataFrame) -> DataFrame:
     return sites.select(F.concat_ws("\t", *parts).alias("value"))
 
 
-def call_lines(calls: DataFrame) -> DataFrame:
-    """Calls as tab-separated lines: probabilities with six decimals, ``.`` for null."""
+def call_line() -> Column:
+    """A call as a tab-separated line: probabilities with six decimals, ``.`` for null."""
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    return calls.select(F.concat_ws("\t", dot("chrom"), dot("pos"), dot("strand"), dot("pos_in_strand"), dot("readname"), dot("read_loc"), decimals(F.col("prob_0"), 6), decimals(F.col("prob_1"), 6), dot("called_label"), dot("k_mer")).alias("value"))
+    return F.concat_ws("\t", dot("chrom"), dot("pos"), dot("strand"), dot("pos_in_strand"), dot("readname"), dot("read_loc"), decimals(F.col("prob_0"), 6), decimals(F.col("prob_1"), 6), dot("called_label"), dot("k_mer"))
+
+
+def call_lines(calls: DataFrame) -> DataFrame:
+    """Calls as lines."""
+    return calls.select(call_line().alias("value"))
 
 
 def feature_lines(features: DataFrame) -> DataFrame:
