@@ -94,7 +94,7 @@ _PHONE = regex.compile(
 )
 _PHONE_CUE = regex.compile(r"(?:tel|phone|call|mobile|ring|number is|anruf|rens|reserva|booking|fax|fon|llam|appel|cell)\W{0,4}(?:\w+\W{1,3}){0,2}$", regex.I)
 _NOT_PHONE = regex.compile(r"(?:isbn|issn|sales|catalogue|inventory|edition|lot|population|coordinates|build|version|checksum|no\.|nr\.|nº|census)\W{0,3}$", regex.I)
-_UNIT = regex.compile(r"\s?(?:crowns|ducats|marks|taler|euros?|dollars?|pounds|kg|km|mm?|hectares|visitors|people|inhabitants|copies|units|€|\$|%)(?!\p{L})", regex.I)
+_UNIT = regex.compile(r"\s?(?:crowns|marks|francs?|euros?|dollars?|pounds|kg|km|mm?|hectares|visitors|people|inhabitants|copies|units|€|\$|%)(?!\p{L})", regex.I)
 
 
 def _inside(pattern: regex.Pattern, text: str) -> Iterator[regex.Match]:
@@ -178,7 +178,7 @@ _ADDRESS = regex.compile(
 _NOT_ADDRESS = regex.compile(r"(?:^|[\s(])(?:route|line|no\.|the|class)\s$", regex.I)
 _NOT_BEHIND = regex.compile(r"\s(?:class|station|yard|line)(?!\p{L})", regex.I)
 _GERMAN_PLACE = regex.compile(r"(?:(?:Am|Im|Zum|Zur)\s)")
-_DATE = regex.compile(r"\s(?:January|February|March|April|May|June|July|August|September|October|November|December|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember|km|Uhr|Einwohner|Taler|[.,]\d|v\.)|\.\s(?:Sonntag|Jahrhundert|März|Mai)", regex.I)
+_DATE = regex.compile(r"\s(?:January|February|March|April|May|June|July|August|September|October|November|December|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember|km|Uhr|Einwohner|[.,]\d|v\.)|\.\s(?:Sonntag|Jahrhundert|März|Mai)", regex.I)
 
 
 #: One of these words, or a word with one of these endings, stands in every address.
