@@ -1,6 +1,7 @@
 import gzip
 import random
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -197,3 +198,17 @@ def test_encoder_size_and_masking():
     assert p.shape == (3, 2) and np.allclose(p.sum(1), 1) and np.allclose(p, hte.probabilities(w, signals, codes, tags, rows=1))
     signals[0] = np.nan
     assert np.isfinite(hte.probabilities(w, signals, codes, tags)).all()
+
+
+def test_caller_memory_and_batches():
+    """Memory of the recurrent caller does not grow with the batch, and a row's score does not depend on its batch."""
+    rng, w, n = np.random.default_rng(3), models.caller_weights(wide=16), 3000
+    arrays = rng.integers(0, 4, (n, 21)), rng.random((n, 21)), rng.random((n, 21)), rng.integers(1, 9, (n, 21)), rng.random((n, 21, 15))
+    tracemalloc.start()
+    whole = models.score_features(w, *arrays)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole.shape == (n, 2) and peak < 20e6
+    cuts = [0, 1, 130, 2000, n]
+    parts = [models.score_features(w, *[x[i:j] for x in arrays]) for i, j in zip(cuts, cuts[1:])]
+    assert np.array_equal(whole, np.concatenate(parts)) and models.score_features(w, *[x[:0] for x in arrays]).shape == (0, 2)
