@@ -1,6 +1,8 @@
 import gzip
+import math
 import random
 import struct
+import time
 import tracemalloc
 
 import numpy as np
@@ -212,3 +214,78 @@ def test_caller_memory_and_batches():
     cuts = [0, 1, 130, 2000, n]
     parts = [models.score_features(w, *[x[i:j] for x in arrays]) for i, j in zip(cuts, cuts[1:])]
     assert np.array_equal(whole, np.concatenate(parts)) and models.score_features(w, *[x[:0] for x in arrays]).shape == (0, 2)
+
+
+def _encoder_rows(n):
+    """Rows with 1 to 15 recorded samples a base, the first without any, the second with one."""
+    rng = np.random.default_rng(5)
+    signals, lens = rng.normal(-1, 1, (n, 21, 15)), rng.integers(1, 16, (n, 21, 1))
+    first = (15 - lens) // 2
+    signals[(np.arange(15) < first) | (np.arange(15) >= first + lens)] = np.nan
+    signals[:2], signals[1, 3, 4] = np.nan, 1.0
+    return signals, rng.integers(0, 4, (n, 21)), rng.integers(0, 2, n).astype(float)
+
+
+def _encoder_by_hand(w, signal, codes, tag):
+    """Probabilities of one row, step by step over all 315 places, hidden ones included."""
+    wide = w["channels"].shape[1]
+    erf = np.vectorize(math.erf)
+    gelu = lambda x: x * (1 + erf(x / math.sqrt(2))) / 2
+    lin = lambda x, name: x @ w[f"{name}.w"] + w[f"{name}.b"]
+    rates = 10_000.0 ** (-np.arange(0, wide, 2) / wide)
+    tokens = []
+    for c in range(5):
+        values = np.nan_to_num(signal.ravel()) if c == 0 else np.repeat(w["letters"][codes, c - 1], 15)
+        there, places = ~np.isnan(signal.ravel()), np.arange(315)
+        waves = np.empty((315, wide))
+        waves[:, 0::2], waves[:, 1::2] = np.sin(places[:, None] * rates), np.cos(places[:, None] * rates)
+        x, token = values[:, None] * w["channels"][c] + waves, w["class"][c]
+        for i in range(5):
+            if i:
+                odd = len(x) % 2
+                x, there, places = np.concatenate([x, x[len(x) - odd :]]), np.concatenate([there, np.zeros(odd, bool)]), np.concatenate([places, places[len(places) - odd :]])
+                pairs = []
+                for j in range(0, len(x), 2):
+                    own = x[j : j + 2][there[j : j + 2]]
+                    pairs.append(np.concatenate([own.max(axis=0), own.mean(axis=0)]) if len(own) else np.zeros(2 * wide))
+                x, there, places = lin(np.array(pairs), f"merge{i}"), there.reshape(-1, 2).any(axis=1), places[::2]
+            y, seen, turn = np.concatenate([token[None], x]), np.concatenate([[True], there]), np.exp(1j * np.concatenate([[0], places + 1])[:, None] * rates)
+            for k in range(2):
+                name = f"mix{i}.att{k}"
+                normed = y / (np.linalg.norm(y, axis=1, keepdims=True) / math.sqrt(wide) + 1e-8) * w[f"{name}.gain"]
+                q, key = ((lin(normed, f"{name}.{part}")[:, 0::2] + 1j * lin(normed, f"{name}.{part}")[:, 1::2]) * turn for part in "qk")
+                e = np.exp((q @ key.conj().T).real / math.sqrt(wide)) * (seen[:, None] & seen)
+                y = y + e / np.maximum(e.sum(axis=1, keepdims=True), 1e-300) @ lin(normed, f"{name}.v") * w[f"{name}.scale"]
+            normed = (y - y.mean(axis=1, keepdims=True)) / np.sqrt(y.var(axis=1, keepdims=True) + 1e-5) * w[f"mix{i}.gain"] + w[f"mix{i}.shift"]
+            y = y + lin(gelu(lin(normed, f"mix{i}.up")), f"mix{i}.down") * w[f"mix{i}.scale"]
+            token, x = y[0], y[1:]
+        tokens.append(token)
+    e = np.exp(lin(gelu(lin(np.append(np.max(tokens, axis=0), tag), "head")), "out"))
+    return e / e.sum()
+
+
+def test_encoder_by_hand():
+    """Only recorded samples are computed, with the same result as over all places; scales far from zero show every part."""
+    rng, w = np.random.default_rng(6), hte.weights(wide=16)
+    for name in w:
+        if name.endswith((".gain", ".scale", ".shift")):
+            w[name] = rng.uniform(0.2, 0.8, w[name].shape)
+    signals, codes, tags = _encoder_rows(9)
+    p = hte.probabilities(w, signals, codes, tags)
+    assert np.allclose(p, [_encoder_by_hand(w, *row) for row in zip(signals, codes, tags)], atol=2e-6)
+    order = rng.permutation(9)
+    assert np.array_equal(p[order], hte.probabilities(w, signals[order], codes[order], tags[order]))
+    assert np.allclose(p, hte.probabilities(w, signals, codes, tags, rows=4), atol=1e-7)
+    assert hte.probabilities(w, signals[:0], codes[:0], tags[:0]).shape == (0, 2)
+
+
+def test_encoder_time_follows_recorded_samples():
+    """Rows with one recorded sample a base take far less time than rows with all 15."""
+    signals, codes, tags = _encoder_rows(24)
+    full, thin = np.nan_to_num(signals), np.where(np.arange(15) == 7, np.nan_to_num(signals), np.nan)
+    w, seconds = hte.weights(wide=32), []
+    for x in (thin, full, thin, full):
+        began = time.thread_time()
+        hte.probabilities(w, x, codes, tags)
+        seconds.append(time.thread_time() - began)
+    assert seconds[2] < seconds[3] / 2
