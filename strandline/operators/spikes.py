@@ -162,8 +162,8 @@ def _parts(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBa
 def _plausible(batch: pa.RecordBatch, min_run: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each field, the values that tell a source's normal behaviour (for raw signals one median per base), and their usual step.
 
-    A step goes from one plausible value to the next base's; in raw signals between the two middle samples of a base. A row
-    gives the median size of its steps, which a few spikes do not move.
+    A step goes from one plausible value to the next base's; in raw signals from each recorded sample of a base to the next one of that
+    base, wherever in the base they stand. A row gives the median size of its steps, which a few spikes do not move.
     """
     means, m = _matrix(batch.column("signal_means"))
     stds, s = _matrix(batch.column("signal_stds"))
@@ -180,13 +180,10 @@ def _plausible(batch: pa.RecordBatch, min_run: int) -> list[tuple[np.ndarray, np
     for values, ok in fields[:2]:
         both = ok[:, 1:] & ok[:, :-1]
         steps.append((np.subtract(values[:, 1:], values[:, :-1], where=both, out=np.zeros(both.shape)), both))
-    if raw.shape[2] >= 2:
-        middle = raw.shape[2] // 2
-        left, right = raw[:, :, middle - 1], raw[:, :, middle]
-        both = good[:, :, middle - 1] & good[:, :, middle] & ~stuck
-        steps.append((np.subtract(right, left, where=both, out=np.zeros(both.shape)), both))
-    else:
-        steps.append((np.zeros((len(raw), 0)), np.zeros((len(raw), 0), bool)))
+    both = good[:, :, 1:] & good[:, :, :-1] & ~stuck[:, :, None]
+    inside = np.subtract(raw[:, :, 1:], raw[:, :, :-1], where=both, out=np.zeros(both.shape))
+    pairs = (len(raw), both.shape[1] * both.shape[2])
+    steps.append((inside.reshape(pairs), both.reshape(pairs)))
     usual = [_row_median(np.abs(step), both)[:, None] if step.shape[1] else np.full((len(raw), 1), np.nan) for step, both in steps]
     return fields + [(x, np.isfinite(x)) for x in usual]
 

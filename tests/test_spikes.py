@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from strandline.operators.spikes import flag_implausible, implausible_bases, kalman_spikes
+from strandline.operators.spikes import flag_implausible, implausible_bases, kalman_spikes, source_behaviour
 
 SCHEMA = "row_id bigint, readname string, signal_means array<double>, signal_stds array<double>, signal_lens array<int>, raw_signals array<array<double>>, _source string, c0 int"
 
@@ -104,3 +104,22 @@ def test_filter_withholds_flagged_updates():
     flags = kalman_spikes(values, np.ones_like(values, bool), np.array([0.0]), np.array([1.0]))
     assert flags.tolist() == [[False, False, True, True, False, False]]
     assert not kalman_spikes(values, np.ones_like(values, bool), np.array([0.0]), np.array([0.0])).any()
+
+
+def test_usual_step_from_all_neighbours(spark):
+    """The raw signals' usual step comes from all neighbouring samples of a base, wherever they stand and however long its list is."""
+    rng = np.random.default_rng(8)
+    raws = []
+    for i in range(40):
+        depth = 15 if i % 2 else 5
+        raw = np.repeat(rng.normal(0, 1, 21)[:, None], depth, axis=1) + rng.normal(0, 1.5, (21, depth))
+        raw[:, depth // 2] = raw[:, depth // 2 - 1]  # the two middle samples are alike
+        raws.append(raw)
+    rows = [[i, "r", [0.0] * 21, [0.1] * 21, [r.shape[1]] * 21, r.tolist()] for i, r in enumerate(raws)]
+    frame = spark.createDataFrame(rows, "row_id bigint, _source string, signal_means array<double>, signal_stds array<double>, signal_lens array<int>, raw_signals array<array<double>>")
+    got = source_behaviour(frame).first()
+    usual = np.mean([np.median(np.abs(np.diff(r, axis=1))) for r in raws]) * 2 / 1.349
+    want = 1 - (1 - usual**2 / (2 * got["s2"] ** 2)) / 0.5
+    assert 0.3 < want < 0.9 and got["n2"] == pytest.approx(want, rel=1e-9)
+    single = spark.createDataFrame([[0, "r", [0.0], [0.1], [1], [[1.0]]], [1, "r", [0.0], [0.1], [1], [[2.0]]], [2, "r", [], [], [], []]], frame.schema)
+    assert source_behaviour(single).first()["n2"] == 0.9  # no step is known: the most, as in the SQL
