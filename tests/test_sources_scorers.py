@@ -289,3 +289,37 @@ def test_encoder_time_follows_recorded_samples():
         hte.probabilities(w, x, codes, tags)
         seconds.append(time.thread_time() - began)
     assert seconds[2] < seconds[3] / 2
+
+
+def test_encoder_products_of_a_row(monkeypatch):
+    """A row takes no product before the first attention, and after the last one only those of its class tokens."""
+    wide, plain, counted = 16, hte.linear, []
+    rng, w = np.random.default_rng(7), hte.weights(wide=wide)
+    monkeypatch.setattr(hte, "linear", lambda x, w, name: counted.append(x.size * w[f"{name}.w"].shape[1]) or plain(x, w, name))
+
+    def products(n):
+        counted.clear()
+        hte.probabilities(w, rng.random((n, 21, 15)), np.zeros((n, 21), int), np.ones(n))
+        return sum(counted)
+
+    steps = [316, 159, 80, 41, 21]
+    asked, fed, merged = 3 * (2 * sum(steps) - steps[0]), 8 * (sum(steps[:-1]) + 1), 2 * sum(steps[1:])
+    head = (wide + 1) * 4 * wide + 4 * wide * 2
+    assert products(3) - products(1) == 2 * (5 * wide * wide * (asked + fed + merged) + head)
+
+
+def test_encoder_score_does_not_depend_on_letters_beside_it():
+    """Tables of the first attention hold the letters of a batch; a row scores the same beside rows with others (but for the 64-bit head's last digit)."""
+    rng, w = np.random.default_rng(8), hte.weights(wide=16)
+    signals, codes, tags = _encoder_rows(6)
+    codes[3:] = rng.integers(4, 20, codes[3:].shape)
+    p = hte.probabilities(w, signals, codes, tags)
+    assert np.allclose(p, np.concatenate([hte.probabilities(w, *(x[i : i + 1] for x in (signals, codes, tags))) for i in range(6)]), rtol=0, atol=1e-14)
+    assert np.allclose(p[4], _encoder_by_hand(w, signals[4], np.minimum(codes[4], 15), tags[4]), atol=2e-6)
+
+
+def test_encoder_gelu():
+    x = np.append(np.linspace(-12, 12, 100_001), [-3e38, -1e4, 1e4, 3e38])
+    wanted = [v * math.erfc(-v / math.sqrt(2)) / 2 for v in x]
+    assert np.allclose(hte._gelu(x.copy()), wanted, rtol=0, atol=6e-8)
+    assert np.allclose(hte._gelu(x.astype(np.float32)), wanted, rtol=1e-7, atol=4e-7)

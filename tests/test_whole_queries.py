@@ -70,3 +70,14 @@ def test_every_signal_meets_its_alignment(spark, tmp_path):
     spark.createDataFrame([(i, i * 7) for i in range(1500)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
     got = sorted(map(tuple, sequences.QUERIES["signal_alignment_join_whole"](spark, str(tmp_path)).collect()))
     assert got == sorted((f"r{i}", 1, i * 7 % 60, 4) for i in range(0, 1200, 3) if i % 5 != 1)
+
+
+def test_encoder_rows_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Tasks of equal size fill all cores to the end only if there are several a core; nothing that the encoder doesn't take goes along."""
+    monkeypatch.setattr(pipelines.models, "score", lambda frame, *_: frame)
+    row = (1, "ACGTACGTACGTACGTACGTA", [0.0] * 21, [1.0] * 21, [9] * 21, [[0.5] * 15] * 21, 1)
+    features = spark.createDataFrame([(i, *row[1:]) for i in range(640)], "row_id bigint, k_mer string, signal_means array<double>, signal_stds array<double>, signal_lens array<int>, raw_signals array<array<double>>, tag int")
+    frame = pipelines.called_by_encoder(features.coalesce(1), {})
+    sizes = [len(part) for part in frame.select("row_id").rdd.glom().collect()]
+    assert len(sizes) >= 8 * spark.sparkContext.defaultParallelism and sum(sizes) == 640 and max(sizes) < 2 * 640 / len(sizes)
+    assert set(frame.columns) == {"row_id", "codes", "raw_signals", "tag", "k_mer"}
